@@ -99,9 +99,8 @@ def met_bases(path: Column) -> Column:
     def less(suffixes: Sequence[str]) -> list[Column]:
         return [F.when(path.endswith(s), F.substring(path, F.lit(1), F.length(path) - len(s))) for s in suffixes]
 
-    swapped = [F.when(x.isNotNull(), F.transform(F.array(*[F.lit(s) for s in SWAPPED]), lambda s, x=x: F.concat(x, s))) for x in less(SWAPPED_FOR)]
-    plain = F.array(path, *less(APPENDED))
-    return F.array_distinct(F.array_compact(F.concat(plain, *[F.coalesce(s, F.array().cast("array<string>")) for s in swapped])))
+    swapped = [F.concat(x, F.lit(s)) for x in less(SWAPPED_FOR) for s in SWAPPED]
+    return F.array_distinct(F.array_compact(F.array(path, *less(APPENDED), *swapped)))
 
 
 def is_internal(from_module: Column, is_external: Column) -> Column:
