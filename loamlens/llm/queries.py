@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loamlens.llm.packing import packed, packing_report
+from loamlens.llm.provenance import handwritten, not_handwritten
 from loamlens.llm.tokenizer import encoded, token_counts
 from loamlens.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand for their repo."""
+    return not_handwritten(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the reason of each."""
+    return not_handwritten(table(spark, sf_dir, "files"))
+
+
+def p4_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains, each file once."""
+    return handwritten(table(spark, sf_dir, "files")).select("file_id", "repo", "path").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encoded(table(spark, sf_dir, "documents"))
@@ -24,5 +40,5 @@ def p7_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
+QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
 SQL: dict[str, str] = {}
