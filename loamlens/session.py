@@ -7,6 +7,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder it lies in, wherever they were started."""
+    root, here = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in here.get("PYTHONPATH", "").split(":"):
+        here["PYTHONPATH"] = ":".join(filter(None, [root, here.get("PYTHONPATH")]))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, with its lineage cut.
 
