@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loamlens.llm.packing import packed, packing_report
 from loamlens.llm.provenance import handwritten, not_handwritten
+from loamlens.llm.syntax import parse_rates, unparsable
 from loamlens.llm.tokenizer import encoded, token_counts
 from loamlens.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are no valid text of their language."""
+    return unparsable(table(spark, sf_dir, "files"))
+
+
+def p2_parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of such files per repo and language."""
+    return parse_rates(table(spark, sf_dir, "files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand for their repo."""
     return not_handwritten(table(spark, sf_dir, "files")).select("file_id")
@@ -40,5 +51,5 @@ def p7_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
+QUERIES = {"p2_found": p2_found, "p2_parse_rates": p2_parse_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
 SQL: dict[str, str] = {}
