@@ -63,8 +63,11 @@ def _table(lang: str) -> dict[str, str]:
     return table
 
 
-def _uncover(lang: str, text: str) -> str:
-    """``text`` with comments as gaps (or line ends) and strings as one sign each; an open one ends the text with an error."""
+def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = None) -> str:
+    """``text`` with comments as gaps (or line ends) and strings as one sign each; an open one ends the text with an error.
+
+    ``spans`` gets begin, end and kind (``c`` or ``s``) of each comment and plain string.
+    """
     out: list[str] = []
     at, depth, templates = 0, 0, []
     scan = _hiding(lang)
@@ -76,6 +79,8 @@ def _uncover(lang: str, text: str) -> str:
         kind = m.lastgroup if m.lastgroup != "h" else "s"
         out.append(text[at : m.start()])
         at = m.end()
+        if spans is not None and kind in "cs":
+            spans.append((m.start(), at, kind))
         if kind == "c":
             out.append("\n" if "\n" in m[0] and m[0][0] != "\\" else " ")
         elif kind == "s":
@@ -90,6 +95,8 @@ def _uncover(lang: str, text: str) -> str:
                     return "".join(out) + ERROR
                 level += 1 if n[0] == "/*" else -1
                 at = n.end()
+            if spans is not None:
+                spans.append((m.start(), at, "c"))
             out.append(" ")
         elif kind == "r":
             before = "".join(out[-3:]).rstrip()
@@ -195,6 +202,13 @@ def _line_ends(lang: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
     return re.compile(rf"(?:(?<=[{ends}])\n+(?![{goes_on}\n]|$))|(?:\n+(?={cls(('++',))}|{cls(('--',))}))"), re.compile(r"\n+")
 
 
+def hidden(lang: str, text: str) -> list[tuple[int, int, str]]:
+    """Begin, end and kind (``c`` or ``s``) of the comments and plain strings of ``text``, as far as it can be read."""
+    spans: list[tuple[int, int, str]] = []
+    _uncover(lang, text, spans)
+    return [x for x in spans if text[x[0]] != "\\"]
+
+
 def lex(lang: str, text: str) -> str:
     """The tokens of ``text`` as one character each, between the signs for its begin and end.
 

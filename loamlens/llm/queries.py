@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamlens.llm.docpairs import code_and_description, documented_functions
 from loamlens.llm.packing import packed, packing_report
 from loamlens.llm.provenance import handwritten, not_handwritten
 from loamlens.llm.syntax import parse_rates, unparsable
@@ -21,6 +22,16 @@ def p2_parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(table(spark, sf_dir, "files"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods with a documentation that tells more than name and signature."""
+    return documented_functions(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files")).select("symbol_id")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their code and description."""
+    return code_and_description(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand for their repo."""
     return not_handwritten(table(spark, sf_dir, "files")).select("file_id")
@@ -51,5 +62,5 @@ def p7_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_parse_rates": p2_parse_rates, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
+QUERIES = {"p2_found": p2_found, "p2_parse_rates": p2_parse_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
 SQL: dict[str, str] = {}
