@@ -18,8 +18,8 @@ RESERVED = {"js": ("enum",), "java": ("const", "goto")}
 # What hides tokens, by language. Groups: c comment, s string, o something that was opened and doesn't end.
 _LINE, _BLOCK = r"//[^\n]*", r"/\*(?s:.*?)\*/"
 _HIDING = {
-    "py": r"(?P<c>\#[^\n]*|\\\r?\n)|(?P<s>(?<![\w])[rRbBuUfFtT]{0,2}(?:\"\"\"(?s:(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|'''(?s:(?:[^'\\]|\\.|'(?!''))*)'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*'))|(?P<o>[\"'])",
-    "js": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*')|(?P<t>`)|(?P<r>/(?![/*]))|(?P<o>/\*|[\"'])|(?P<b>[{{}}])",
+    "py": r"(?P<c>\#[^\n]*|\\\r?\n)|(?P<s>(?:\"\"\"(?s:(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|'''(?s:(?:[^'\\]|\\.|'(?!''))*)'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*'))|(?P<o>[\"'])",
+    "js": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*')|(?P<t>`)|(?P<r>/(?![/*]))|(?P<o>/\*|[\"'])",
     "go": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<o>/\*|[\"'`])",
     "java": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"\"\"[ \t\f]*\r?\n(?s:(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{{1,3}}|u+[0-9a-fA-F]{{4}}))')|(?P<o>/\*|[\"'])",
     "rs": r"(?P<c>//[^\n]*)|(?P<n>/\*)|(?P<s>(?<!\w)[bc]?r(?P<h>\#*)\"(?s:.*?)\"(?P=h)|(?<!\w)[bc]?\"(?s:(?:[^\"\\]|\\.)*)\"|(?<!\w)b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|[nrt0\\'\"]))')|(?P<l>'[^\W\d]\w*)|(?P<o>[\"'])",
@@ -42,25 +42,36 @@ _BEFORE_REGEX = re.compile(r"(?:^|[^\w$.])(?:return|typeof|case|in|of|delete|voi
 
 @cache
 def _signs(lang: str) -> re.Pattern[str]:
-    signs = sorted((t for t in [*alphabet(lang), "===", "<<<", ">>>>"] if len(t) > 1 and not t[0].isalpha() and t not in ("^^",)), key=len, reverse=True)
+    """Words, numbers and signs of several characters, also runs of seven that no language has; single signs stand for themselves."""
+    signs = sorted((t for t in alphabet(lang) if len(t) > 1 and not t[0].isalpha() and t != "^^"), key=len, reverse=True)
     words = r"[^\W\d](?:[\w]|\$)*" if lang not in ("js", "ts") else r"(?:[^\W\d]|\$)[\w$]*"
-    private = r"\#[^\W\d]\w*|" if lang in ("js", "ts") else ""
+    private = r"|\#[^\W\d]\w*" if lang in ("js", "ts") else ""
     raw = r"r\#[^\W\d]\w*|" if lang == "rs" else ""
-    return re.compile(rf"{private}{raw}{_NUMBER[lang]}|{words}|" + "|".join(map(re.escape, signs)) + r"|[ \t\r\f\x0b ﻿]+|\S")
+    return re.compile(rf"{raw}{words}|(?=[\d.])(?:{_NUMBER[lang]}){private}|<{{7}}|>{{7}}|={{7}}|\|{{7}}|" + "|".join(map(re.escape, signs)))
+
+
+class _Codes(dict):
+    """The codes of tokens; words and numbers that are not known are kept as they come, up to a bound."""
+
+    def __missing__(self, token: str) -> str:
+        c = token[0]
+        code = "0" if c.isdigit() or c == "." else "h" if c == "#" else ERROR if c in "<>=|" else "n"
+        if len(self) < 50_000 and len(token) < 40:
+            self[token] = code
+        return code
 
 
 @cache
-def _table(lang: str) -> dict[str, str]:
+def _table(lang: str) -> _Codes:
     table = {t: c for t, c in alphabet(lang).items() if not (t.isupper() and len(t) > 1) and t not in ("^", "$", "^^")}
     if "^^" in alphabet(lang):
         table["^"] = "^"
-    table |= {_TEXT: "s", _GAP: "", "\n": "\n", ERROR: ERROR, "\x0c": "", "\x0e": "l", "\x0f": "x", " ": ""}
     table |= {w: ERROR for w in RESERVED.get(lang, ())}
     if lang == "java":
         table |= {t: "t" for t in PRIMITIVES if t != "var"}
     if lang == "rs":
         table["_"] = alphabet(lang).get("_", "n")
-    return table
+    return _Codes(table)
 
 
 def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = None) -> str:
@@ -69,8 +80,8 @@ def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = No
     ``spans`` gets begin, end and kind (``c`` or ``s``) of each comment and plain string.
     """
     out: list[str] = []
-    at, depth, templates = 0, 0, []
-    scan = _hiding(lang)
+    at, templates = 0, []
+    scan = _hiding(lang, False)
     while True:
         m = scan.search(text, at)
         if not m:
@@ -108,60 +119,51 @@ def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = No
                 out.append("\x0f")
             else:
                 out.append("/")
-        elif kind == "b" or kind == "t":
-            if m[0] == "{":
-                depth += 1
-                out.append("{")
-                continue
-            if m[0] == "}" and not (templates and templates[-1] == depth):
-                depth -= 1
-                out.append("}")
+        else:
+            if kind == "b" and not (m[0] == "}" and templates[-1] == 0):
+                templates[-1] += 1 if m[0] == "{" else -1
+                out.append(m[0])
                 continue
-            if m[0] == "}":
+            if kind == "b":
                 templates.pop()
                 out.append(")+")
+            elif kind != "t":
+                return "".join(out) + ERROR
             piece = _TEMPLATE.match(text, at)
             if not piece:
                 return "".join(out) + ERROR
             at = piece.end()
             out.append(_TEXT)
             if piece[1] == "${":
-                templates.append(depth)
+                templates.append(0)
                 out.append("+(")
-        else:
-            return "".join(out) + ERROR
+            scan = _hiding(lang, bool(templates))
     return "".join(out) + (ERROR if templates else "")
 
 
 @cache
-def _hiding(lang: str) -> re.Pattern[str]:
-    return re.compile(_HIDING[lang])
+def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
+    return re.compile(_HIDING[lang] + (r"|(?P<b>[{}])" if in_template else ""))
 
 
-def _coded(lang: str, text: str) -> str:
-    table = _table(lang)
-    get = table.get
-
-    def code(m: re.Match[str]) -> str:
-        token = m[0]
-        found = get(token)
-        if found is not None:
-            return found
-        c = token[0]
-        if c.isdigit() or (c == "." and len(token) > 1 and token[1].isdigit()):
-            return "0"
-        if c.isspace() or c in "﻿":
-            return ""
-        if c.isalpha() or c in "_$" or (len(token) > 2 and token[:2] == "r#"):
-            return "n" if token != "_" or lang != "rs" else "n"
-        return "h" if c == "#" and len(token) > 1 else ERROR
-
-    return _signs(lang).sub(code, text)
+@cache
+def _single(lang: str) -> tuple[dict[int, str], re.Pattern[str]]:
+    """What becomes of single characters, and a pattern for those that no token has."""
+    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x"} | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
+    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxlt\n", "\x02", "\x03"})
+    return plain, re.compile(f"[^{allowed}]")
 
 
-_BRACKETS = re.compile(r"[()\[\]{}\n]")
+def _coded(lang: str, text: str) -> str:
+    table = _table(lang)
+    prefixed = lang == "py" and _TEXT in text
+    if prefixed:
+        text = _PREFIX.sub(_TEXT, text)
+    plain, stray = _single(lang)
+    return stray.sub(ERROR, _signs(lang).sub(lambda m: table[m[0]], text).translate(plain))
 
 
+_PREFIX = re.compile(rf"(?<!\w)[rRbBuUfFtT]{{1,2}}{_TEXT}")
 def _python_lines(text: str) -> str:
     """Logical lines: ``text`` with ';' for each line end outside brackets, and '{' '}' around deeper lines."""
     out, stack, level = [], [0], 0

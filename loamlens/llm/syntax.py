@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loamlens.functions.paths import extension
 from loamlens.llm.grammar import GRAMMARS, alphabet, permissible
 from loamlens.llm.lexer import lex
+from loamlens.session import checkpointed
 
 # Extensions of the languages.
 LANGUAGES = {"py": "py", "pyi": "py", "js": "js", "mjs": "js", "ts": "ts", "go": "go", "rs": "rs", "java": "java"}
@@ -125,7 +126,7 @@ def unparsable(files: DataFrame) -> DataFrame:
     A null content and an unknown extension are no cases; an empty content is valid in every language but Go. Repeated rows of
     a file count once, and a file is a case if any of its rows is. An empty table gives an empty result.
     """
-    lexed = tokens(files)
+    lexed = checkpointed(tokens(files))
     parts = statements(lexed)
     return broken_pairs(lexed).unionByName(unnested(parts)).unionByName(bad_statements(parts)).distinct()
 
