@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loamlens.llm.abuse import THRESHOLD, scored_documents, source_rates
 from loamlens.llm.docpairs import code_and_description, documented_functions
 from loamlens.llm.packing import packed, packing_report
 from loamlens.llm.provenance import handwritten, not_handwritten
@@ -62,5 +64,20 @@ def p7_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(p7_packed(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_parse_rates": p2_parse_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of abuse."""
+    return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual sentence."""
+    return p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of such documents per source."""
+    return source_rates(p8_scores(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_parse_rates": p2_parse_rates, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_handwritten": p4_handwritten, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_packing_report": p7_packing_report, "p8_found": p8_found, "p8_scores": p8_scores, "p8_source_rates": p8_source_rates}
 SQL: dict[str, str] = {}
