@@ -109,11 +109,11 @@ def sentence_words(text: Column) -> Column:
     Invisible signs are left out, letters set apart by blanks, dots, dashes or underscores are joined, and a line that goes on
     in lower case belongs to the sentence before.
     """
-    shown = F.regexp_replace(text, f"[{INVISIBLE}]", "")
-    joined = F.regexp_replace(shown, r"(?<=(?<![\p{L}\p{N}])\p{L})[ ._\-](?=\p{L}(?![\p{L}\p{N}]))", "")
+    shown = F.translate(text, INVISIBLE, "")
+    joined = F.regexp_replace(shown, r"[ ._\-](?=\p{L}(?![\p{L}\p{N}]))(?<=(?<![\p{L}\p{N}])\p{L}.)", "")
     flowing = F.regexp_replace(joined, r"\r?\n[ \t]*(?:[*#>-]|//+)?[ \t]*(?=\p{Ll}\p{Ll}*[ ,.])", " ")
     marked = F.regexp_replace(F.regexp_replace(flowing, r"[\"“”«»„]([^\"“”«»„\n]{1,60})[\"“”«»„]", " qquoteq $1 "), r"`[^`\n]{0,80}`", " qcodeq ")
-    sentences = F.split(marked, r"(?<=[.!?…。！？])[\s\")]+|[\r\n]+", -1)
+    sentences = F.split(marked, r"[.!?…。！？]+[\s\")]+|[\r\n]+", -1)
     words = F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}@$*+|]*(?:![\p{L}\p{N}]+)?"), F.lit(0)))
     return F.filter(words, lambda w: F.size(w) > 0)
 
