@@ -40,6 +40,9 @@ _NUMBER["ts"] = _NUMBER["js"]
 _BEFORE_REGEX = re.compile(r"(?:^|[^\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|do|else|instanceof|yield|await)$")
 
 
+_SIGN = r"-+*/%&|\^!~<>=?:.@"
+
+
 @cache
 def _signs(lang: str) -> re.Pattern[str]:
     """Words, numbers and signs of several characters, also runs of seven that no language has; single signs stand for themselves."""
@@ -47,7 +50,7 @@ def _signs(lang: str) -> re.Pattern[str]:
     words = r"[^\W\d](?:[\w]|\$)*" if lang not in ("js", "ts") else r"(?:[^\W\d]|\$)[\w$]*"
     private = r"|\#[^\W\d]\w*" if lang in ("js", "ts") else ""
     raw = r"r\#[^\W\d]\w*|" if lang == "rs" else ""
-    return re.compile(rf"{raw}{words}|(?=[\d.])(?:{_NUMBER[lang]}){private}|<{{7}}|>{{7}}|={{7}}|\|{{7}}|" + "|".join(map(re.escape, signs)))
+    return re.compile(rf"({raw}{words}|(?=[\d.])(?:{_NUMBER[lang]}){private}|(?=[{_SIGN}]{{2}})(?:<{{7}}|>{{7}}|={{7}}|\|{{7}}|" + "|".join(map(re.escape, signs)) + "))")
 
 
 class _Codes(dict):
@@ -149,7 +152,7 @@ def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
 @cache
 def _single(lang: str) -> tuple[dict[int, str], re.Pattern[str]]:
     """What becomes of single characters, and a pattern for those that no token has."""
-    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x"} | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
+    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x"} | dict(zip((1, 4, 16), "{};", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
     allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxlt\n", "\x02", "\x03"})
     return plain, re.compile(f"[^{allowed}]")
 
@@ -160,10 +163,15 @@ def _coded(lang: str, text: str) -> str:
     if prefixed:
         text = _PREFIX.sub(_TEXT, text)
     plain, stray = _single(lang)
-    return stray.sub(ERROR, _signs(lang).sub(lambda m: table[m[0]], text).translate(plain))
+    parts = _signs(lang).split(text)
+    parts[1::2] = map(table.__getitem__, parts[1::2])
+    return stray.sub(ERROR, "".join(parts).translate(plain))
 
 
 _PREFIX = re.compile(rf"(?<!\w)[rRbBuUfFtT]{{1,2}}{_TEXT}")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
 def _python_lines(text: str) -> str:
     """Logical lines: ``text`` with ';' for each line end outside brackets, and '{' '}' around deeper lines."""
     out, stack, level = [], [0], 0
@@ -184,7 +192,8 @@ def _python_lines(text: str) -> str:
                     out.append(ERROR)
         else:
             body = line
-        level = max(0, level + sum(body.count(c) for c in "([{") - sum(body.count(c) for c in ")]}"))
+        if _BRACKET.search(body):
+            level = max(0, level + sum(map(body.count, "([{")) - sum(map(body.count, ")]}")))
         out.append(body if level else body + "\x10")
     out += ["\x04"] * (len(stack) - 1)
     return "".join(out)
@@ -224,10 +233,7 @@ def lex(lang: str, text: str) -> str:
     open_text = _uncover(lang, text)
     codes = alphabet(lang)
     if lang == "py":
-        marks = {"\x01": "{", "\x04": "}", "\x10": ";"}
-        parts = re.split("([\x01\x04\x10])", _python_lines(open_text))
-        line = "".join(marks[p] if p in marks else _coded(lang, p) for p in parts)
-        return "\x02" + line.replace("\n", "") + "\x03"
+        return "\x02" + _coded(lang, _python_lines(open_text)).replace("\n", "") + "\x03"
     line = _coded(lang, open_text)
     if lang in ("js", "ts"):
         dot, words = re.escape(codes["."]) + codes["?."], "".join(c for t, c in codes.items() if t.isalpha() and t.islower() and len(t) > 1)
