@@ -129,10 +129,11 @@ def comment_blocks(lang: str, text: str) -> Iterator[tuple[str, int, int, str, l
         strings = {a: b for a, b, kind in spans if kind == "s"}
         for m in _DEF.finditer(shown):
             start = _INTO_BODY.match(shown, m.end()).end()
-            if start in strings and re.match(r"[rRuU]?[\"']", text[start : start + 2]):
+            start += shown[start : start + 1] in tuple("rRuU")
+            if start in strings:
                 after = shown[strings[start] :].split("\n", 1)[0].strip()
                 if not after or after.startswith(";"):
-                    raw = re.sub(r"^[rRuU]?(\"\"\"|'''|\"|')((?s:.*))\1$", r"\2", text[start : strings[start]])
+                    raw = re.sub(r"^(\"\"\"|'''|\"|')((?s:.*))\1$", r"\2", text[start : strings[start]])
                     plain = "\n".join(x.strip() for x in raw.split("\n")).strip()
                     yield "docstring", shown.count("\n", 0, m.start()) + 1 + (len(m[0]) - len(m[0].lstrip("\n"))), 0, plain, _units(plain)
 
@@ -165,12 +166,17 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 3, F.regexp_replace(F.regexp_replace(word, r"ies$", "y"), r"(?:(?<=[^s])s|es|ed|ing|e)$", "")).otherwise(word)
 
 
+def _stemmed(word: str) -> str:
+    """:func:`stem` of a word that is known beforehand."""
+    return re.sub(r"(?:(?<=[^s])s|es|ed|ing|e)$", "", re.sub(r"ies$", "y", word)) if len(word) > 3 else word
+
+
 def informative(units: Column, name: Column, signature: Column) -> Column:
     """Whether a unit of a description tells more than name and signature: words remain when these and fillers are left out."""
     dull = "|".join(f"(?:{p})" for p in (*PLACEHOLDERS, *POINTERS, *TOOL_NOTES, *STAMPS, *DISUSED_CODE, *BARE_TAGS))
     told = F.filter(units, lambda u: ~F.lower(F.trim(u)).rlike(rf"^[\s*#/!-]*(?:{dull})$") & u.rlike(r"[\p{L}\p{N}]"))
     plain = F.transform(told, lambda u: F.regexp_replace(u, r"^\W*[@:\\]\w+\s*(?:\{[^}]*\})?", " "))
-    fillers = F.transform(F.array(*[F.lit(w) for w in FILLERS]), stem)
+    fillers = F.array(*[F.lit(w) for w in sorted({_stemmed(w) for w in FILLERS})])
     known = F.array_union(F.array_union(words_of(name), words_of(F.coalesce(signature, F.lit("")))), fillers)
     return F.size(F.array_except(words_of(F.array_join(plain, " ")), known)) > 0
 
