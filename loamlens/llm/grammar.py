@@ -15,15 +15,15 @@ assign: unary (binop unary)* ('?' assign ':' assign)? | arrow | 'yield' '*'? ass
 arrow: 'async'? (NAME | params) '=>' (assign | block)
 binop: '+'|'-'|'*'|'/'|'%'|'**'|'=='|'!='|'==='|'!=='|'<'|'>'|'<='|'>='|'<<'|'>>'|'>>>'|'&'|'|'|'^^'|'&&'|'||'|'??'|'in'|'instanceof'|'='|'+='|'-='|'*='|'/='|'%='|'**='|'<<='|'>>='|'>>>='|'&='|'|='|'^='|'&&='|'||='|'??='
 unary: ('!'|'-'|'+'|'~'|'typeof'|'void'|'delete'|'await'|'++'|'--'|'new')* postfix ('++'|'--')?
-postfix: primary (('.'|'?.') (NAME|WORD|PRIVATE) | '[' expr ']' | '?.' '[' expr ']' | '?.'? '(' args? ')' | STR)*
-primary: NAME | NUM | STR | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' '.' NAME | 'import' ('.' NAME | '(' expr ')') | '(' expr? ')' | '[' (','* args? ) ']' | object | func | class | REGEX
+postfix: primary (('.'|'?.') (NAME|WORD|PRIVATE) | '[' expr ']' | '?.' '[' expr ']' | '?.'? '(' args? ')' | TPL)*
+primary: NAME | NUM | STR | TPL | PRIVATE | 'this' | 'super' | 'null' | 'true' | 'false' | 'new' '.' NAME | 'import' ('.' NAME | '(' expr ')') | '(' expr? ')' | '[' (','* args? ) ']' | object | func | class | REGEX
 args: ('...'? assign) (',' ('...'? assign)?)*
 object: '{' (member (',' member)* ','?)? '}'
 member: '...' assign | key ':' assign | NAME ('=' assign)? | ('async'|'get'|'set'|'*')* key params block
 key: NAME | WORD | STR | NUM | PRIVATE | '[' assign ']'
 func: 'async'? 'function' '*'? NAME? params block
 block: '{' stmt* tail? '}'
-tail: simple | ('if' '(' expr ')' | 'else' | 'while' '(' expr ')' | NAME ':' | 'for' '(' (('var'|'let'|'const') binds)? expr? ';' expr? ';' expr? ')' | 'for' '(' ('var'|'let'|'const')? postfix ('of'|'in') expr ')') tail
+tail: simple | ('if' '(' expr ')' | 'else' | 'while' '(' expr ')' | NAME ':' | 'for' '(' (('var'|'let'|'const') binds | expr)? ';' expr? ';' expr? ')' | 'for' '(' ('var'|'let'|'const')? postfix ('of'|'in') expr ')') tail
 simple: expr | jump | ('var'|'let'|'const') binds | 'do' stmt 'while' '(' expr ')' | 'import' STR | 'import' imports 'from' STR | 'export' '*' ('as' NAME)? 'from' STR | 'export' names ('from' STR)? | 'export' 'default' assign | 'export' ('var'|'let'|'const') binds | 'debugger'
 jump: 'return' expr? | 'throw' expr | 'break' NAME? | 'continue' NAME?
 binds: bind (',' bind)*
@@ -35,7 +35,7 @@ file: '^' stmt* tail? '$'
 stmt: ';' | simple ';' | block | func | class | 'export' 'default'? (func | class) | 'if' '(' expr ')' body ('else' body)? | 'for' 'await'? '(' (expr | ('var'|'let'|'const') binds)? ';' expr? ';' expr? ')' body | 'for' 'await'? '(' (('var'|'let'|'const') target | postfix) ('of'|'in') expr ')' body | 'while' '(' expr ')' body | 'do' body 'while' '(' expr ')' ';'? | 'try' block ('catch' ('(' target ')')? block)? ('finally' block)? | 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* ('case' expr ':' | 'default' ':')? tail? '}' | NAME ':' stmt
 body: stmt
 bind: target ('=' assign)?
-target: NAME | '[' ','* (target ('=' assign)? (',' (target ('=' assign)?)?)*)? ','? '...'? NAME? ']' | '{' ((key (':' target)? ('=' assign)? | '...' NAME) (',' (key (':' target)? ('=' assign)? | '...' NAME))* ','?)? '}'
+target: NAME | '[' ','* (target ('=' assign)? (',' (target ('=' assign)?)?)*)? ','? ('...' target)? ']' | '{' ((key (':' target)? ('=' assign)? | '...' NAME) (',' (key (':' target)? ('=' assign)? | '...' NAME))* ','?)? '}'
 params: '(' ((param (',' param)*) ','?)? ')'
 param: '...'? target ('=' assign)?
 class: 'class' NAME? ('extends' postfix)? '{' classitem* '}'
@@ -46,25 +46,26 @@ names: '{' ((NAME|WORD|STR) ('as' (NAME|WORD|STR))? (',' (NAME|WORD|STR) ('as' (
 
 TYPESCRIPT = """
 file: '^' stmt* tail? '$'
-""" + _EXPRESSION_JS.replace("arrow: 'async'? (NAME | params) '=>'", "arrow: 'async'? typeparams? (NAME | params returns?) '=>'").replace("NAME? params block", "NAME? typeparams? params returns? block").replace("key params block", "key '?'? typeparams? params returns? block").replace("'import' imports 'from' STR |", "'import' 'type'? imports 'from' STR | 'import' NAME '=' postfix |").replace("'debugger'", "'debugger' | ('export'|'declare')* 'type' NAME typeparams? '=' type | sig").replace("('++'|'--')?\n", "('++'|'--'|'!')? (('as'|'satisfies') type)*\n").replace("| STR)*", "| STR | '!' | typeargs)*").replace("'new')* postfix", "'new'|typeargs)* postfix") + """
+""" + _EXPRESSION_JS.replace("arrow: 'async'? (NAME | params) '=>'", "arrow: 'async'? typeparams? (NAME | params returns?) '=>'").replace("NAME? params block", "NAME? typeparams? params returns? block").replace("key params block", "key '?'? typeparams? params returns? block").replace("'import' imports 'from' STR |", "'import' 'type'? imports 'from' STR | 'import' NAME '=' postfix |").replace("'debugger'", "'debugger' | ('export'|'declare')* 'type' NAME typeparams? '=' type | sig").replace("('++'|'--')?\n", "('++'|'--'|'!')? (('as'|'satisfies') type)*\n").replace("| TPL)*", "| TPL | '!' | typeargs)*").replace("'new')* postfix", "'new'|typeargs)* postfix") + """
 sig: ('export'|'declare'|'default'|'async')* 'function' NAME? typeparams? params returns?
 stmt: ';' | simple ';' | block | func | class | ('export'|'declare'|'default'|'abstract')* (func | class | interface | enum | module) | decorator | 'if' '(' expr ')' body ('else' body)? | 'for' 'await'? '(' (expr | ('var'|'let'|'const') binds)? ';' expr? ';' expr? ')' body | 'for' 'await'? '(' (('var'|'let'|'const') target | postfix) ('of'|'in') expr ')' body | 'while' '(' expr ')' body | 'do' body 'while' '(' expr ')' ';'? | 'try' block ('catch' ('(' target (':' type)? ')')? block)? ('finally' block)? | 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' stmt*)* ('case' expr ':' | 'default' ':')? tail? '}' | NAME ':' stmt
 body: stmt
 bind: target '!'? (':' type)? ('=' assign)?
-target: NAME | '[' ','* (target ('=' assign)? (',' (target ('=' assign)?)?)*)? ','? '...'? NAME? ']' | '{' ((key (':' target)? ('=' assign)? | '...' NAME) (',' (key (':' target)? ('=' assign)? | '...' NAME))* ','?)? '}'
+target: NAME | '[' ','* (target ('=' assign)? (',' (target ('=' assign)?)?)*)? ','? ('...' target)? ']' | '{' ((key (':' target)? ('=' assign)? | '...' NAME) (',' (key (':' target)? ('=' assign)? | '...' NAME))* ','?)? '}'
 params: '(' ((param (',' param)*) ','?)? ')'
-param: decorator* ('public'|'private'|'protected'|'readonly'|'override')* '...'? (target|'this') '?'? (':' type)? ('=' assign)?
+param: argdeco* ('public'|'private'|'protected'|'readonly'|'override')* '...'? (target|'this') '?'? (':' type)? ('=' assign)?
 returns: ':' type | ':' 'asserts'? (NAME|'this') 'is' type
 typeparams: '<' 'const'? NAME ('extends' type)? ('=' type)? (',' NAME ('extends' type)? ('=' type)?)* ','? '>'
 typeargs: '<' type (',' type)* ('>'|'>>'|'>>>')
 type: '|'? '&'? typeunit (('|'|'&') typeunit | 'extends' type '?' type ':' type)*
-typeunit: ('keyof'|'readonly'|'unique'|'infer'|'typeof'|'new')* (NAME ('.' NAME)* typeargs? | 'void' | 'null' | 'true' | 'false' | 'this' | STR | '-'? NUM | '(' type ')' | typeparams? params '=>' type | '[' (('...'? (NAME '?'? ':')? type '?'?) (',' '...'? (NAME '?'? ':')? type '?'?)* ','?)? ']' | '{' typemember* typelast? '}' | 'import' '(' STR ')') ('[' type? ']')*
+typeunit: ('keyof'|'readonly'|'unique'|'infer'|'typeof'|'new')* (NAME ('.' NAME)* typeargs? | 'void' | 'null' | 'true' | 'false' | 'this' | STR | TPL | '-'? NUM | '(' type ')' | typeparams? params '=>' type | '[' (('...'? (NAME '?'? ':')? type '?'?) (',' '...'? (NAME '?'? ':')? type '?'?)* ','?)? ']' | '{' typemember* typelast? '}' | 'import' '(' STR ')') ('[' type? ']')*
 typemember: typelast (';'|',')
 typelast: ('readonly'|'-'|'+'|'get'|'set'|'new'|'static')* (key '?'? (':' type)? | key? '?'? typeparams? params returns? | '[' NAME (':'|'in') type ('as' type)? ']' ('-'|'+')? '?'? ':' type)
 class: 'class' NAME? typeparams? ('extends' postfix typeargs?)? ('implements' type (',' type)*)? '{' classitem* '}'
 classitem: ';' | decorator | 'static' block | mods key '?'? typeparams? params returns? (block | ';' | '}') | mods key ('?'|'!')? (':' type)? ('=' assign)? (';' | '}') | mods '[' NAME ':' type ']' ':' type (';' | '}')
 mods: ('static'|'async'|'get'|'set'|'*'|'public'|'private'|'protected'|'readonly'|'abstract'|'override'|'declare')*
-decorator: '@' NAME ('.' NAME)* ('(' args? ')')?
+decorator: '@' NAME ('.' NAME)* ('(' args? ')' | ';')
+argdeco: '@' NAME ('.' NAME)* '(' args? ')'
 interface: 'interface' NAME typeparams? ('extends' type (',' type)*)? '{' typemember* typelast? '}'
 enum: 'const'? 'enum' NAME '{' (key ('=' assign)? (',' key ('=' assign)?)* ','?)? '}'
 module: ('namespace'|'module'|'global') (NAME ('.' NAME)* | STR)? block
@@ -136,11 +137,11 @@ blockexpr: ('unsafe'|'async'|'move'|'const')* block | LIFE ':' blockexpr | 'if'
 cond: expr | 'let' pattern '=' expr (('&&') cond)?
 arm: attr* '|'? pattern ('if' expr)? '=>' (expr ',' | blockexpr ','? | expr '}')
 macro: path '!' NAME? ('(' soup ')' ';'? | '[' soup ']' ';'? | '{' soup '}')
-soup: (part ((',' | ';' | '=>' | '=') part)* (',' | ';')?)?
+soup: (part ((',' | ';' | '=>') part)* (',' | ';')?)?
 part: expr | 'let' pattern | stmt* expr | pattern ('if' expr)? | type | 'move'? block
 pattern: '|'? pat ('|' pat)*
 pat: '_' | '..' | 'ref'? 'mut'? NAME ('@' pat)? | '-'? (NUM) (('..='|'..'|'...') '-'? NUM?)? | STR (('..='|'...') STR)? | 'true' | 'false' | '&' 'mut'? pat | '&&' pat | '(' (pattern (',' pattern)* ','?)? ')' | '[' (pattern (',' pattern)* ','?)? ']' | path ('(' (pattern (',' pattern)* ','?)? ')' | '{' ((attr* 'ref'? 'mut'? NAME (':' pattern)? | '..') (',' ('ref'? 'mut'? NAME (':' pattern)? | '..'))* ','?)? '}')? | '..=' NUM | macro
-expr: ('-'|'!'|'*'|'&' 'mut'?|'&&' 'mut'?)* operand (binop ('-'|'!'|'*'|'&' 'mut'?|'&&' 'mut'?)* operand)* | 'return' expr? | 'break' LIFE? expr? | 'continue' LIFE? | ('move'|'async'|'static')* ('||' | '|' (cparam (',' cparam)* ','?)? '|') ('->' type)? expr | '..'|'..=' expr
+expr: ('-'|'!'|'*'|'&' 'mut'?|'&&' 'mut'?)* operand (binop ('-'|'!'|'*'|'&' 'mut'?|'&&' 'mut'?)* operand)* | 'return' expr? | 'break' LIFE? expr? | 'continue' LIFE? | ('move'|'async'|'static')* ('||' | '|' (cparam (',' cparam)* ','?)? '|') ('->' type block | expr) | '..'|'..=' expr
 cparam: pat (':' type)?
 binop: '+'|'-'|'*'|'/'|'%'|'=='|'!='|'<'|'<='|'>'|'>='|'&&'|'||'|'&'|'|'|'^^'|'<<'|'>>'|'='|'+='|'-='|'*='|'/='|'%='|'&='|'|='|'^='|'<<='|'>>='|'..'|'..='
 operand: (NUM | STR | 'true' | 'false' | path | '(' (expr (',' expr)* ','?)? ')' | '[' (expr (',' expr)* ','? | expr ';' expr)? ']' | blockexpr | macro | path '{' ((attr* (NAME|NUM) (':' expr)? | '..' expr?) (',' (attr* (NAME|NUM) (':' expr)? | '..' expr?))* ','?)? '}' | 'return' | 'break' | 'continue') ('?' | '.' (NAME ('::' args)? | NUM | 'await') | '(' (expr (',' expr)* ','?)? ')' | '[' expr ']' | 'as' type | '..')*
@@ -305,7 +306,7 @@ def adjacent(grammar: str) -> set[tuple[str, str]]:
 def alphabet(lang: str) -> dict[str, str]:
     """One character for every token of a language: classes and single signs are themselves, others get one of their own."""
     tokens = sorted({t for pair in adjacent(GRAMMARS[lang]) for t in pair})
-    classes = {"NAME": "n", "NUM": "0", "STR": "s", "WORD": "w", "PRIVATE": "h", "REGEX": "x", "LIFE": "l", "PRIM": "t", "^": "\x02", "$": "\x03", "^^": "^"}
+    classes = {"NAME": "n", "NUM": "0", "STR": "s", "WORD": "w", "PRIVATE": "h", "REGEX": "x", "TPL": "q", "LIFE": "l", "PRIM": "t", "^": "\x02", "$": "\x03", "^^": "^"}
     codes = dict(classes)
     free = 0xE000
     for token in tokens:

@@ -115,7 +115,7 @@ def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = No
         elif kind == "r":
             before = "".join(out[-3:]).rstrip()
             last = before[-1:]
-            divides = last in (")", "]", "}", _TEXT, "\x0f") or ((last.isalnum() or last in "_$") and last and not _BEFORE_REGEX.search(before[-12:]))
+            divides = last in (")", "]", "}", _TEXT, "\x0f", "\x11") or ((last.isalnum() or last in "_$") and last and not _BEFORE_REGEX.search(before[-12:]))
             literal = None if divides else _REGEX.match(text, m.start())
             if literal:
                 at = literal.end()
@@ -136,7 +136,7 @@ def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = No
             if not piece:
                 return "".join(out) + ERROR
             at = piece.end()
-            out.append(_TEXT)
+            out.append("\x11")
             if piece[1] == "${":
                 templates.append(0)
                 out.append("+(")
@@ -152,8 +152,8 @@ def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
 @cache
 def _single(lang: str) -> tuple[dict[int, str], re.Pattern[str]]:
     """What becomes of single characters, and a pattern for those that no token has."""
-    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x"} | dict(zip((1, 4, 16), "{};", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
-    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxlt\n", "\x02", "\x03"})
+    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x", ord("\x11"): "q"} | dict(zip((1, 4, 16), "{};", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
+    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxltq\n", "\x02", "\x03"})
     return plain, re.compile(f"[^{allowed}]")
 
 
@@ -206,7 +206,7 @@ def _line_ends(lang: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
     if lang == "go":
         ends = "n0s)\\]}" + cls(("break", "continue", "fallthrough", "return", "++", "--", "type"))
         return re.compile(rf"(?<=[{ends}])\n+"), re.compile(r"\n+")
-    ends = "n0sxhw)\\]}" + cls(("++", "--", "this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "from", "as", "of", "get", "set", "async", "static", "type", "let", "yield", "void", "any", "is"))
+    ends = "n0sxhwq)\\]}" + cls(("++", "--", "this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "from", "as", "of", "get", "set", "async", "static", "type", "let", "yield", "void", "any", "is"))
     if lang == "ts":
         ends += ">!"
     goes_on = ".,;)\\]}:?=+\\-*/%<>&|\\^(\\[" + cls(("?.", "=>", "**", "==", "!=", "===", "!==", "<=", ">=", "<<", ">>", ">>>", "&&", "||", "??", "in", "instanceof", "+=", "-=", "*=", "/=", "%=", "&&=", "||=", "??=", "&=", "|=", "^=", "as", "from", "catch", "finally", "of"))

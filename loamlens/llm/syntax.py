@@ -70,10 +70,12 @@ def bad_production(lang: str) -> str:
         heads = one("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
         return rf"^[{{}}\x02]*{heads}[^:]*;$|^[{{}}\x02]*[^{{}}()\[\]]*[n0s)\]](?:=[^=]*)?[+\-*/%]?=;$"
     if lang == "js":
-        typed = rf"^[}}\x02]*(?:{one('export', 'default')})*{one('const', 'let', 'var')}n:|(?:{one('function')}n?|^[}}\x02]*(?:{one('static', 'async', 'get', 'set')})*n)\([^?()]*(?:\)|n):|[(,]n:[^?()]*[,)](?=.*(?:\{{|{codes['=>']}))"
-        return rf"{typed}|[=(](?:n\.)*n{codes['as']}n|^\x02\{{s:|^n(?:\.n)*:[^?]*;$(?<!,;)(?=x)x"
+        typed = rf"^[}}\x02]*(?:{one('export', 'default')})*{one('const', 'let', 'var')}n:|(?:{one('function')}n?|^[}}\x02]*(?:{one('static', 'async', 'get', 'set')})*n)\([^?()]*(?:\)|n):|\([^()?{{}}]*n:"
+        return rf"{typed}|[=(](?:n\.)*n{codes['as']}n|^\x02\{{s:|^{codes['from']}[;\x03]"
+    if lang == "ts":
+        return rf"^\x02\{{s:|^{codes['from']}[;\x03]"
     if lang == "java":
-        return r"(?<![@.n])nnn|[nt>\]]n\(n(?:,n)*\)\{$"
+        return rf"(?<![@.n])nnn|[nt>\]]n\(n(?:,n)*\)\{{$|^[}}\x02]*nn\([^()]*\){codes['->']}|[nt>\]]n=[^{{}};]*\}}$|{one('return', 'throw', 'break', 'continue')}[^{{}};]*\}}$"
     return r"(?!)"
 
 
