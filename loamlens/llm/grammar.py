@@ -190,7 +190,7 @@ PYTHON = """
 file: '^' stmt* '$'
 stmt: simple (';' simple)* ';' | ';' | compound | deco ';'
 deco: '@' named
-block: simple (';' simple)* ';' | ';' '{' stmt+ '}'
+block: simple (';' simple)* ';' | ';' INDENT stmt+ DEDENT
 simple: exprs (':' expr ('=' value)?)? | exprs (augop value)? | exprs ('=' (exprs|yield))+ | yield | 'return' exprs? | 'raise' (expr ('from' expr)?)? | 'pass' | 'break' | 'continue' | 'del' exprs | 'assert' expr (',' expr)? | 'global' NAME (',' NAME)* | 'nonlocal' NAME (',' NAME)* | 'import' dotted ('as' NAME)? (',' dotted ('as' NAME)?)* | 'from' ('.'|'...')* dotted? 'import' ('*' | names | '(' names ','? ')') | 'type' NAME tparams? '=' expr
 names: NAME ('as' NAME)? (',' NAME ('as' NAME)?)*
 dotted: NAME ('.' NAME)*
@@ -306,7 +306,7 @@ def adjacent(grammar: str) -> set[tuple[str, str]]:
 def alphabet(lang: str) -> dict[str, str]:
     """One character for every token of a language: classes and single signs are themselves, others get one of their own."""
     tokens = sorted({t for pair in adjacent(GRAMMARS[lang]) for t in pair})
-    classes = {"NAME": "n", "NUM": "0", "STR": "s", "WORD": "w", "PRIVATE": "h", "REGEX": "x", "TPL": "q", "LIFE": "l", "PRIM": "t", "^": "\x02", "$": "\x03", "^^": "^"}
+    classes = {"NAME": "n", "NUM": "0", "STR": "s", "WORD": "w", "PRIVATE": "h", "REGEX": "x", "TPL": "q", "INDENT": "⇥", "DEDENT": "⇤", "LIFE": "l", "PRIM": "t", "^": "\x02", "$": "\x03", "^^": "^"}
     codes = dict(classes)
     free = 0xE000
     for token in tokens:

@@ -152,8 +152,8 @@ def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
 @cache
 def _single(lang: str) -> tuple[dict[int, str], re.Pattern[str]]:
     """What becomes of single characters, and a pattern for those that no token has."""
-    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x", ord("\x11"): "q"} | dict(zip((1, 4, 16), "{};", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
-    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxltq\n", "\x02", "\x03"})
+    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x", ord("\x11"): "q"} | dict(zip((1, 4, 16), "⇥⇤;", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
+    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxltq⇥⇤\n", "\x02", "\x03"})
     return plain, re.compile(f"[^{allowed}]")
 
 
@@ -173,7 +173,7 @@ _BRACKET = re.compile(r"[()\[\]{}]")
 
 
 def _python_lines(text: str) -> str:
-    """Logical lines: ``text`` with ';' for each line end outside brackets, and '{' '}' around deeper lines."""
+    """Logical lines: ``text`` with a sign for each line end outside brackets, and signs around deeper lines."""
     out, stack, level = [], [0], 0
     for line in text.split("\n"):
         if not level:

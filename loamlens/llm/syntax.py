@@ -58,8 +58,10 @@ def broken_pairs(lexed: DataFrame) -> DataFrame:
 
 
 def statements(lexed: DataFrame) -> DataFrame:
-    """unit, file_id, lang, seq, codes: one row per piece of a statement, up to a brace or semicolon."""
-    return lexed.select("unit", "file_id", "lang", F.posexplode(F.regexp_extract_all("codes", F.lit(r"(?s)[^{};]*[{};]|[^{};]+$"), F.lit(0))).alias("seq", "codes"))
+    """unit, file_id, lang, seq, codes: one row per piece of a statement, up to a brace or semicolon, in Python per line, indent or dedent."""
+    lines = F.regexp_extract_all("codes", F.lit(r"(?s)[^;⇥⇤]*[;⇥⇤]|[^;⇥⇤]+$"), F.lit(0))
+    pieces = F.when(F.col("lang") == "py", lines).otherwise(F.regexp_extract_all("codes", F.lit(r"(?s)[^{};]*[{};]|[^{};]+$"), F.lit(0)))
+    return lexed.select("unit", "file_id", "lang", F.posexplode(pieces).alias("seq", "codes"))
 
 
 def bad_production(lang: str) -> str:
@@ -67,8 +69,9 @@ def bad_production(lang: str) -> str:
     codes = alphabet(lang)
     one = lambda *words: "[" + "".join(codes[w] for w in words if w in codes) + "]"
     if lang == "py":
-        heads = one("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
-        return rf"^[{{}}\x02]*{heads}[^:]*;$|^[{{}}\x02]*[^{{}}()\[\]]*[n0s)\]](?:=[^=]*)?[+\-*/%]?=;$"
+        cut = f"{one('from')}[^{codes['import']}]*;$|{one('import')}[^()]*,;$|{one('from')}[^()]*,;$|{one('assert')}[^,]*,;$|{one('global', 'nonlocal')}.*,;$"
+        unfinished = f"(?!{one('if', 'elif', 'case')})[^{codes['for']}{codes['if']}{codes['else']}]*{codes['if']}[^{codes['for']}{codes['else']}]*;$"
+        return rf"^\x02?+(?:{cut}|{unfinished})|^\x02?[^{{}}()\[\]]*[n0s)\]](?:=[^=]*)?[+\-*/%]?=;$"
     if lang == "js":
         typed = rf"^[}}\x02]*(?:{one('export', 'default')})*{one('const', 'let', 'var')}n:|(?:{one('function')}n?|^[}}\x02]*(?:{one('static', 'async', 'get', 'set')})*n)\([^?()]*(?:\)|n):|\([^()?{{}}]*n:"
         return rf"{typed}|[=(](?:n\.)*n{codes['as']}n|^\x02\{{s:|^{codes['from']}[;\x03]"
@@ -79,15 +82,19 @@ def bad_production(lang: str) -> str:
     return r"(?!)"
 
 
+def _without_groups(codes: Column, group: str) -> Column:
+    for _ in range(4):
+        codes = F.regexp_replace(codes, group, "")
+    return codes
+
+
 def unnested(parts: DataFrame) -> DataFrame:
     """file_id of files whose brackets don't nest.
 
     Brackets that meet within a piece are reduced there; those that are left become rows. Running sums over a file give each
     its depth, and within a depth a closing bracket must follow an opening one of its kind.
     """
-    inner = F.col("codes")
-    for _ in range(4):
-        inner = F.regexp_replace(inner, r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]", "")
+    inner = _without_groups(F.col("codes"), r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]")
     left = parts.select("unit", "file_id", "seq", F.posexplode(F.regexp_extract_all(inner, F.lit(r"[()\[\]{}]"), F.lit(0))).alias("at", "sign"))
     step = F.when(F.col("sign").isin("(", "[", "{"), 1).otherwise(-1)
     running = Window.partitionBy("unit").orderBy("seq", "at")
@@ -102,19 +109,36 @@ def unnested(parts: DataFrame) -> DataFrame:
 def bad_statements(parts: DataFrame) -> DataFrame:
     """file_id of files with a piece that no production gives, or a piece that may not follow the one before.
 
-    In Python a line that ends in a colon must be followed by a deeper one and no other may be.
+    In Python a line that ends in a colon must be followed by a deeper one and no other may be; a ``try`` must be followed by
+    an ``except`` or ``finally``, and these, ``elif`` and ``else`` by turns belong to what stands before at the same depth.
     """
     alone = F.lit(False)
     for lang in GRAMMARS:
         pattern = bad_production(lang)
         if pattern != "(?!)":
             alone = alone | ((F.col("lang") == lang) & F.col("codes").rlike(pattern))
-    python = parts.where("lang = 'py'")
-    after = F.lead("codes").over(Window.partitionBy("unit").orderBy("seq"))
-    opens = F.regexp_like("codes", F.lit(r":;$"))
-    deeper = F.col("after").startswith("{")
-    lines = python.withColumn("after", after).where(F.col("codes").endswith(";"))
-    order = lines.where((opens & ~F.coalesce(deeper, F.lit(False))) | (~opens & F.coalesce(deeper, F.lit(False)) & ~F.col("codes").rlike(r"^;$")))
+    codes = alphabet("py")
+    word = lambda *words: "^\x02?[" + "".join(codes[w] for w in words) + "]"
+    in_file = Window.partitionBy("unit").orderBy("seq")
+    step = F.when(F.col("codes") == "⇥", 1).when(F.col("codes") == "⇤", -1).otherwise(0)
+    python = parts.where("lang = 'py'").withColumn("level", F.sum(step).over(in_file)).withColumn("after", F.lead("codes").over(in_file)).withColumn("before", F.lag("codes").over(in_file))
+    headed = python.where("codes <> '⇥'").withColumn("head", F.lag("codes").over(Window.partitionBy("unit", "level").orderBy("seq")))
+    line, after, head = F.col("codes"), F.coalesce("after", F.lit("")), F.coalesce("head", F.lit(""))
+    is_line = line.endswith(";") & (line != ";")
+    depth = is_line & (line.endswith(":;") != (after == "⇥"))
+    closes = line == "⇤"
+    left_open = head.rlike(word("try")) & ~after.rlike(word("except", "finally"))
+    strange = (
+        (after.rlike(word("except")) & ~head.rlike(word("try", "except")))
+        | (after.rlike(word("finally")) & ~head.rlike(word("try", "except", "else")))
+        | (after.rlike(word("elif")) & ~head.rlike(word("if", "elif")))
+        | (after.rlike(word("else")) & ~head.rlike(word("if", "elif", "for", "while", "except", "async")))
+    )
+    loose = is_line & line.rlike(word("except", "finally", "elif", "else")) & (F.coalesce("before", F.lit("")) != "⇤") & ~F.coalesce("before", F.lit("")).rlike(r":[^;]+;$")
+    bare = is_line & line.rlike(r"^\x02?@") & ~after.rlike(word("def", "class", "async") + "|^@")
+    heads = word("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
+    no_colon = is_line & line.rlike(heads) & ~_without_groups(line, r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}").contains(":")
+    order = headed.where(depth | no_colon | bare | (closes & (left_open | strange)) | loose)
     return parts.where(alone).select("file_id").unionByName(order.select("file_id"))
 
 

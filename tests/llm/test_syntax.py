@@ -85,7 +85,7 @@ def test_null_unknown_repeated_and_empty(spark):
 def test_grammars_leave_most_pairs_out(lang):
     tokens = {t for p in adjacent(GRAMMARS[lang]) for t in p}
     assert len(permissible(lang)) < 0.9 * len(tokens) ** 2
-    assert "nn" not in permissible(lang) or lang == "java"
+    assert "nn" not in permissible(lang) or lang in ("java", "go")
 
 
 def test_open_texts_are_errors():
