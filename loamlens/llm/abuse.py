@@ -71,7 +71,7 @@ def canonical(word: str) -> str:
             w = "".join(_LOOKALIKES.get(c, c) for c in w)
         if any(c.isalpha() for c in w) and any(c in _SIGNS for c in w) and not re.fullmatch(r"\d+\w{0,3}|\D+\d+", w):
             w = "".join(_SIGNS.get(c, c) for c in w)
-    return re.sub(r"(.)\1{2,}", r"\1", w)
+    return re.sub(r"([^*])\1{2,}", r"\1", w)
 
 
 _CATEGORY: dict[str, list[str]] = {}
@@ -87,8 +87,8 @@ def term_ids(word: str) -> tuple[int, ...]:
     w = canonical(word)
     kinds = _CATEGORY.get(w)
     if kinds is None and "*" in w and len(w) > 2:
-        shape = re.compile("".join(r".{1,3}" if c == "*" else re.escape(c) for c in re.sub(r"\*+", lambda m: m[0] if len(m[0]) == 1 else m[0], w)))
-        hit = next((x for x in _STARRED if re.fullmatch(re.escape(w).replace(r"\*", "."), x) or shape.fullmatch(x)), None)
+        shapes = (re.escape(w).replace(r"\*", "."), re.sub(r"(?:\\\*)+", ".{1,8}", re.escape(w)))
+        hit = next((x for shape in shapes for x in _STARRED if re.fullmatch(shape, x)), None)
         if hit:
             w, kinds = hit, _CATEGORY[hit]
     if kinds is None and len(w) > 4:
