@@ -149,23 +149,33 @@ def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
     return re.compile(_HIDING[lang] + (r"|(?P<b>[{}])" if in_template else ""))
 
 
+class _Gaps(dict):
+    """What becomes of the signs and the white space between words: most stretches are met again and again."""
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x", ord("\x11"): "q"} | dict(zip((1, 4, 16), "⇥⇤;", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
+        self.stray = re.compile("[^" + "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxltq⇥⇤\n"}) + "]")
+
+    def __missing__(self, gap: str) -> str:
+        code = self.stray.sub(ERROR, gap.translate(self.plain))
+        if len(self) < 50_000 and len(gap) < 40:
+            self[gap] = code
+        return code
+
+
 @cache
-def _single(lang: str) -> tuple[dict[int, str], re.Pattern[str]]:
-    """What becomes of single characters, and a pattern for those that no token has."""
-    plain = {ord(_TEXT): "s", ord("\x0e"): "l", ord("\x0f"): "x", ord("\x11"): "q"} | dict(zip((1, 4, 16), "⇥⇤;", strict=True)) | {ord(c): None for c in " \t\r\f\x0b\xa0\ufeff"}
-    allowed = "".join(re.escape(c) for c in {*alphabet(lang).values(), *"n0shxltq⇥⇤\n", "\x02", "\x03"})
-    return plain, re.compile(f"[^{allowed}]")
+def _gaps(lang: str) -> _Gaps:
+    return _Gaps(lang)
 
 
 def _coded(lang: str, text: str) -> str:
-    table = _table(lang)
-    prefixed = lang == "py" and _TEXT in text
-    if prefixed:
+    if lang == "py" and _TEXT in text:
         text = _PREFIX.sub(_TEXT, text)
-    plain, stray = _single(lang)
     parts = _signs(lang).split(text)
-    parts[1::2] = map(table.__getitem__, parts[1::2])
-    return stray.sub(ERROR, "".join(parts).translate(plain))
+    parts[1::2] = map(_table(lang).__getitem__, parts[1::2])
+    parts[0::2] = map(_gaps(lang).__getitem__, parts[0::2])
+    return "".join(parts)
 
 
 _PREFIX = re.compile(rf"(?<!\w)[rRbBuUfFtT]{{1,2}}{_TEXT}")
@@ -200,17 +210,27 @@ def _python_lines(text: str) -> str:
 
 
 @cache
-def _line_ends(lang: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+def _line_ends(lang: str) -> re.Pattern[str]:
+    """The line ends that stand for a semicolon."""
     codes = alphabet(lang)
     cls = lambda tokens: "".join(re.escape(codes[t]) for t in tokens if t in codes)
     if lang == "go":
         ends = "n0s)\\]}" + cls(("break", "continue", "fallthrough", "return", "++", "--", "type"))
-        return re.compile(rf"(?<=[{ends}])\n+"), re.compile(r"\n+")
+        return re.compile(rf"\n(?<=[{ends}]\n)")
     ends = "n0sxhwq)\\]}" + cls(("++", "--", "this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "from", "as", "of", "get", "set", "async", "static", "type", "let", "yield", "void", "any", "is"))
     if lang == "ts":
         ends += ">!"
     goes_on = ".,;)\\]}:?=+\\-*/%<>&|\\^(\\[" + cls(("?.", "=>", "**", "==", "!=", "===", "!==", "<=", ">=", "<<", ">>", ">>>", "&&", "||", "??", "in", "instanceof", "+=", "-=", "*=", "/=", "%=", "&&=", "||=", "??=", "&=", "|=", "^=", "as", "from", "catch", "finally", "of"))
-    return re.compile(rf"(?:(?<=[{ends}])\n+(?![{goes_on}\n]|$))|(?:\n+(?={cls(('++',))}|{cls(('--',))}))"), re.compile(r"\n+")
+    return re.compile(rf"\n(?:(?<=[{ends}]\n)\n*(?![{goes_on}\n]|$)|\n*(?=[{cls(('++', '--'))}]))")
+
+
+@cache
+def _names(lang: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """Keywords that are names: behind a dot, and as keys of an object (``default`` may be a label there)."""
+    codes = alphabet(lang)
+    words = [c for t, c in codes.items() if t.isalpha() and t.islower() and len(t) > 1]
+    keys = "".join(c for c in words if c != codes["default"])
+    return re.compile(rf"([{re.escape(codes['.'])}{codes['?.']}])[{''.join(words)}]"), re.compile(rf"([{{,]\n*)[{keys}](?=:)")
 
 
 def hidden(lang: str, text: str) -> list[tuple[int, int, str]]:
@@ -231,19 +251,13 @@ def lex(lang: str, text: str) -> str:
     if lang in ("js", "ts", "rs") and text.startswith("#!") and not text.startswith("#!["):
         text = text.partition("\n")[2] if lang == "rs" or "node" in text.partition("\n")[0] else text
     open_text = _uncover(lang, text)
-    codes = alphabet(lang)
     if lang == "py":
         return "\x02" + _coded(lang, _python_lines(open_text)).replace("\n", "") + "\x03"
     line = _coded(lang, open_text)
     if lang in ("js", "ts"):
-        dot, words = re.escape(codes["."]) + codes["?."], "".join(c for t, c in codes.items() if t.isalpha() and t.islower() and len(t) > 1)
-        line = re.sub(rf"(?<=[{dot}])[{words}]", "n", line)
-        line = re.sub(rf"(?<=[{{,])(\n*)[{words}](?=:)", lambda m: m[1] + ("n" if m[0][-1] != codes["default"] else m[0][-1]), line)
+        after_dot, key = _names(lang)
+        line = key.sub(r"\1n", after_dot.sub(r"\1n", line))
     if lang in ("js", "ts", "go"):
-        put, rest = _line_ends(lang)
-        line = rest.sub("", put.sub(";", line))
-    else:
-        line = line.replace("\n", "")
-    if lang == "rs":
-        line = line.replace(codes.get("::", "::"), codes.get("::", "::"))
+        line = _line_ends(lang).sub(";", line)
+    line = line.replace("\n", "")
     return "\x02" + line + "\x03"

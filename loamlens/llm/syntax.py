@@ -118,27 +118,33 @@ def bad_statements(parts: DataFrame) -> DataFrame:
         if pattern != "(?!)":
             alone = alone | ((F.col("lang") == lang) & F.col("codes").rlike(pattern))
     codes = alphabet("py")
-    word = lambda *words: "^\x02?[" + "".join(codes[w] for w in words) + "]"
+    is_one = lambda k, *words: F.coalesce(k, F.lit("")).isin(*[codes[w] for w in words])
+    line = F.col("codes")
+    heads = is_one(F.col("kind"), "if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
+    group = r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}"
+    python = (
+        parts.where("lang = 'py'")
+        .withColumn("kind", F.substring(line, F.when(line.startswith("\x02"), 2).otherwise(1), F.lit(1)))
+        .withColumn("is_line", line.endswith(";") & (line != ";"))
+        .select("unit", "file_id", "seq", "kind", "is_line", line.endswith(":;").alias("opens"), (F.col("is_line") & heads & ~_without_groups(line, group).contains(":")).alias("no_colon"))
+    )
     in_file = Window.partitionBy("unit").orderBy("seq")
-    step = F.when(F.col("codes") == "⇥", 1).when(F.col("codes") == "⇤", -1).otherwise(0)
-    python = parts.where("lang = 'py'").withColumn("level", F.sum(step).over(in_file)).withColumn("after", F.lead("codes").over(in_file)).withColumn("before", F.lag("codes").over(in_file))
-    headed = python.where("codes <> '⇥'").withColumn("head", F.lag("codes").over(Window.partitionBy("unit", "level").orderBy("seq")))
-    line, after, head = F.col("codes"), F.coalesce("after", F.lit("")), F.coalesce("head", F.lit(""))
-    is_line = line.endswith(";") & (line != ";")
-    depth = is_line & (line.endswith(":;") != (after == "⇥"))
-    closes = line == "⇤"
-    left_open = head.rlike(word("try")) & ~after.rlike(word("except", "finally"))
+    step = F.when(F.col("kind") == "⇥", 1).when(F.col("kind") == "⇤", -1).otherwise(0)
+    placed = python.withColumn("level", F.sum(step).over(in_file)).withColumn("after", F.lead("kind").over(in_file)).withColumn("before", F.lag(F.struct("kind", "is_line", "opens")).over(in_file))
+    headed = placed.where("kind <> '⇥'").withColumn("head", F.lag("kind").over(Window.partitionBy("unit", "level").orderBy("seq")))
+    after, head, closes = F.col("after"), F.col("head"), F.col("kind") == "⇤"
+    depth = F.col("is_line") & (F.col("opens") != (F.coalesce(after, F.lit("")) == "⇥"))
+    left_open = is_one(head, "try") & ~is_one(after, "except", "finally")
     strange = (
-        (after.rlike(word("except")) & ~head.rlike(word("try", "except")))
-        | (after.rlike(word("finally")) & ~head.rlike(word("try", "except", "else")))
-        | (after.rlike(word("elif")) & ~head.rlike(word("if", "elif")))
-        | (after.rlike(word("else")) & ~head.rlike(word("if", "elif", "for", "while", "except", "async")))
+        (is_one(after, "except") & ~is_one(head, "try", "except"))
+        | (is_one(after, "finally") & ~is_one(head, "try", "except", "else"))
+        | (is_one(after, "elif") & ~is_one(head, "if", "elif"))
+        | (is_one(after, "else") & ~is_one(head, "if", "elif", "for", "while", "except", "async"))
     )
-    loose = is_line & line.rlike(word("except", "finally", "elif", "else")) & (F.coalesce("before", F.lit("")) != "⇤") & ~F.coalesce("before", F.lit("")).rlike(r":[^;]+;$")
-    bare = is_line & line.rlike(r"^\x02?@") & ~after.rlike(word("def", "class", "async") + "|^@")
-    heads = word("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
-    no_colon = is_line & line.rlike(heads) & ~_without_groups(line, r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}").contains(":")
-    order = headed.where(depth | no_colon | bare | (closes & (left_open | strange)) | loose)
+    short = F.coalesce(F.col("before.is_line") & ~F.col("before.opens") & is_one(F.col("before.kind"), "if", "elif", "for", "while", "try", "except", "else", "async"), F.lit(False))
+    loose = F.col("is_line") & is_one(F.col("kind"), "except", "finally", "elif", "else") & ~is_one(F.col("before.kind"), "DEDENT") & ~short
+    bare = F.col("is_line") & is_one(F.col("kind"), "@") & ~is_one(after, "def", "class", "async", "@")
+    order = headed.where(F.col("no_colon") | depth | bare | (closes & (left_open | strange)) | loose)
     return parts.where(alone).select("file_id").unionByName(order.select("file_id"))
 
 
