@@ -464,3 +464,10 @@ def json_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("props IS NOT NULL")
     keys = F.json_object_keys("props")
     return e.select("event_id", F.array_join(keys, ",").alias("keys"), F.size(keys).cast("bigint").alias("n_keys"))
+
+
+@query()
+def parsed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamlens.operators.parsers import parsed
+
+    return parsed(table(spark, sf_dir, "files"))
