@@ -83,13 +83,10 @@ def comment_blocks(lang: str, text: str) -> Iterator[tuple[str, int, int, str, l
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
     spans = hidden(lang, text)
-    begins, at = [], 0
-    for line in lines:
-        begins.append(at)
-        at += len(line) + 1
     masked, last = [], 0
     for a, b, kind in spans:
-        masked += [text[last:a], re.sub(r"[^\n]", " " if kind == "c" else "s", text[a:b])]
+        sign = " " if kind == "c" else "s"
+        masked += [text[last:a], "\n".join(sign * len(part) for part in text[a:b].split("\n"))]
         last = b
     shown = "".join([*masked, text[last:]])
     code = shown.split("\n")
@@ -156,19 +153,20 @@ def candidate_comments(files: DataFrame) -> DataFrame:
     return claimed.mapInArrow(run, f"file_id {kind}, source string, line bigint, blanks int, text string, units array<string>")
 
 
-def words_of(text: Column) -> Column:
-    """The words (array) of a text or a name in lower case, without endings; names are cut at capitals and underscores."""
-    cut = F.regexp_replace(F.regexp_replace(text, r"(?<=[\p{Ll}\d])(?=\p{Lu})", " "), r"(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ")
-    return F.transform(F.regexp_extract_all(F.lower(cut), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), stem)
+#: Fixed value: endings that are left off words of at least four letters.
+_ENDING = r"(?:ies|y(?:s|ed|ing)?|ing|es|ed|e|(?<=[^s])s)"
 
 
-def stem(word: Column) -> Column:
-    return F.when(F.length(word) > 3, F.regexp_replace(F.regexp_replace(word, r"ies$", "y"), r"(?:(?<=[^s])s|es|ed|ing|e)$", "")).otherwise(word)
+def words_of(text: Column) -> Column:
+    """The words (array) of a text or a name in lower case, without endings; names are cut at capitals and underscores."""
+    cut = F.regexp_replace(text, r"(?<=[\p{Ll}\d])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|_", " ")
+    stems = F.regexp_replace(F.lower(cut), r"(?<=\p{L}\p{L}\p{L})" + _ENDING + r"(?![\p{L}\p{M}\p{N}])", "")
+    return F.regexp_extract_all(stems, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
 def _stemmed(word: str) -> str:
-    """:func:`stem` of a word that is known beforehand."""
-    return re.sub(r"(?:(?<=[^s])s|es|ed|ing|e)$", "", re.sub(r"ies$", "y", word)) if len(word) > 3 else word
+    """A word as :func:`words_of` gives it."""
+    return re.sub(r"(?<=[^\W\d_]{3})" + _ENDING + r"$", "", word)
 
 
 def informative(units: Column, name: Column, signature: Column) -> Column:
@@ -191,16 +189,11 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
     Files that are no valid text of their language are left out, so are rows without content, kinds other than function and
     method, and symbols whose line is null. Repeated symbols count once; a null name or signature has no words. Empty tables
-    give an empty result. Only comments near declarations leave the file's task, and the join is by file and line.
+    give an empty result. Only comments near declarations leave the file's task; the join is by file and line, and both sides
+    of the assignment are ranked where it left them. Rows that are repeated tie as comments and are one as functions.
     """
-    functions = (
-        symbols.where("kind IN ('function', 'method') AND line IS NOT NULL")
-        .groupBy("symbol_id")
-        .agg(F.min(F.struct("file_id", "name", "line", "end_line", "signature")).alias("s"))
-        .select("symbol_id", "s.*")
-    )
-    comments = candidate_comments(files).dropDuplicates(["file_id", "source", "line", "text"])
-    links = functions.join(comments, ["file_id", "line"])
+    functions = symbols.where("kind IN ('function', 'method') AND line IS NOT NULL").select("symbol_id", "file_id", "name", "line", "end_line", "signature")
+    links = functions.join(candidate_comments(files), ["file_id", "line"])
     own_name = F.regexp_extract(F.coalesce("name", F.lit("")), r"(\w+)\W*$", 1)
     tags = F.regexp_extract_all(F.array_join("units", "\n"), F.lit(r"[@:\\](?:param|arg)\w*\s+(?:\{[^}]*\}\s*)?([\w$]+)"), F.lit(1))
     fits = F.size(F.array_intersect(tags, F.regexp_extract_all(F.coalesce("signature", F.lit("")), F.lit(r"[\w$]+"), F.lit(0))))
@@ -211,9 +204,9 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
         + F.when((own_name != "") & F.contains(F.col("text"), own_name), 5.0).otherwise(0.0)
     )
     scored = links.withColumn("score", score)
-    of_function = Window.partitionBy("file_id", "symbol_id").orderBy(F.desc("score"), "source", "text")
+    of_function = Window.partitionBy("file_id", "line", "symbol_id").orderBy(F.desc("score"), "source", "text")
     of_comment = Window.partitionBy("file_id", "line", "source", "text").orderBy(F.desc("score"), "symbol_id")
-    assigned = scored.withColumn("r1", F.row_number().over(of_function)).withColumn("r2", F.row_number().over(of_comment)).where("r1 = 1 AND r2 = 1")
+    assigned = scored.withColumn("r2", F.rank().over(of_comment)).where("r2 = 1").withColumn("r1", F.row_number().over(of_function)).where("r1 = 1")
     good = assigned.where((F.col("blanks") == 0) & informative(F.col("units"), F.coalesce("name", F.lit("")), F.col("signature")))
     return good.join(unparsable(files), "file_id", "left_anti").select("symbol_id", "file_id", "name", "line", "end_line", "source", F.col("text").alias("description"))
 
