@@ -138,27 +138,28 @@ def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     return sized.select("repo", F.col("n").alias("path"), F.min("n").over(Window.partitionBy("repo", "label")).alias("component"))
 
 
-def demanded_names(imports: DataFrame, files: DataFrame, symbols: DataFrame, *, max_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def demanded_names(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repo, path, name) of the names that some file asks of another, and (repo, path) of the files imported without names.
 
-    Files without symbols that are no entry points pass on: a name asked of them is asked of the files they import it from,
-    round by round until nothing is added.
+    Files without symbols that are no entry points only pass on: they ask nothing for themselves, but a name asked of them is
+    asked of the files they import it from, round by round until nothing is added.
     """
     asked = imports.groupBy("import_id").agg(F.min(F.struct("repo", "file_path", "from_module", F.coalesce("names", F.array().cast("array<string>")).alias("names"))).alias("i")).select("i.*")
     target = checkpointed(asked.join(resolved_imports(imports, files), ["repo", "file_path", "from_module"]).select("repo", "file_path", "target", "names").distinct())
     whole = target.where(F.size("names") == 0).select("repo", F.col("target").alias("path")).distinct()
-    known = checkpointed(target.select("repo", F.col("target").alias("path"), F.explode("names").alias("name")).distinct())
-    passing = (
-        files.select("repo", "path").distinct().where(~F.col("path").rlike(ENTRY_FILES)).join(symbols.select("repo", F.col("file_path").alias("path")), ["repo", "path"], "left_anti")
+    passing = checkpointed(
+        files.select("repo", "path").distinct().where(~F.col("path").rlike(ENTRY_FILES)).join(symbols.select("repo", F.col("file_path").alias("path")), ["repo", "path"], "left_anti").withColumnRenamed("path", "file_path")
     )
-    routes = target.join(passing.withColumnRenamed("path", "file_path"), ["repo", "file_path"], "left_semi")
+    routes = checkpointed(target.join(passing, ["repo", "file_path"], "left_semi"))
+    asking = target.join(passing, ["repo", "file_path"], "left_anti")
+    known = checkpointed(asking.select("repo", F.col("target").alias("path"), F.explode("names").alias("name")).distinct())
     fresh = known
-    for _ in range(max_rounds):
+    while True:
         sent = routes.join(fresh.select("repo", F.col("path").alias("file_path"), "name"), ["repo", "file_path"]).where((F.size("names") == 0) | F.array_contains("names", F.col("name")))
         fresh = checkpointed(sent.select("repo", F.col("target").alias("path"), "name").distinct().join(known, ["repo", "path", "name"], "left_anti"))
         if fresh.isEmpty():
             break
-        known = known.unionByName(fresh)
+        known = checkpointed(known.unionByName(fresh))
     return known, whole
 
 

@@ -52,6 +52,20 @@ def test_names_pass_through_files_without_symbols(spark):
     assert ("src/feature.ts", "used", "high") not in exports and ("src/feature.ts", "idle", "high") in exports
 
 
+def test_a_name_passed_on_counts_only_where_it_is_asked_for(spark):
+    files = ["src/feature.ts", "src/b1.ts", "src/page.ts"]
+    imports = [("src/b1.ts", "./feature", ["used", "unused"]), ("src/page.ts", "./b1", ["used"])]
+    exports, _ = dead(spark, files, imports, [("src/feature.ts", "used", True), ("src/feature.ts", "unused", True), ("src/page.ts", "p", False)])
+    assert exports == [("src/feature.ts", "unused", "high")]
+
+
+def test_names_pass_through_any_number_of_files(spark):
+    files = ["src/feature.ts", *(f"src/b{i}.ts" for i in range(13)), "src/page.ts"]
+    imports = [("src/b0.ts", "./feature", ["used", "unused"]), *((f"src/b{i}.ts", f"./b{i - 1}", ["used"]) for i in range(1, 13)), ("src/page.ts", "./b12", ["used"])]
+    exports, _ = dead(spark, files, imports, [("src/feature.ts", "used", True), ("src/feature.ts", "unused", True), ("src/page.ts", "p", False)])
+    assert exports == [("src/feature.ts", "unused", "high")]
+
+
 def test_empty_tables(spark):
     assert dead(spark, [], [], []) == ([], [])
 
