@@ -91,16 +91,19 @@ def impact(edges: DataFrame, sources: DataFrame, *, max_depth: int = 5) -> DataF
     )
 
 
-def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """repo, path, component: the files on import cycles, and the least path of their strongly connected component.
 
     Files without an importer or an import within what is left are cut away first. Then, in rounds, every file takes the
     greatest label that reaches it; a file that kept its own is the root of the files that reach it back within its label.
-    Those are a component and leave the graph.
+    Those are a component and leave the graph. The file with the greatest label always keeps its own, so every round removes
+    a component, and rounds go on until nothing is left. Labels begin with a hash of the path, so that cycles that import one
+    another in the order of their paths don't take a round each.
     """
+    own = F.concat(F.lpad(F.hex(F.xxhash64("n")), 16, "0"), F.lit(" "), "n")
     left = checkpointed(edges.select("repo", "src", "dst").where("src <> dst").distinct())
     found = None
-    for _ in range(max_rounds):
+    while True:
         while True:
             ends = left.select("repo", F.col("src").alias("n")).intersect(left.select("repo", F.col("dst").alias("n")))
             kept = left.join(ends.withColumnRenamed("n", "src"), ["repo", "src"], "left_semi").join(ends.withColumnRenamed("n", "dst"), ["repo", "dst"], "left_semi")
@@ -111,7 +114,7 @@ def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        labels = checkpointed(left.select("repo", F.col("src").alias("n")).distinct().withColumn("label", F.col("n")))
+        labels = checkpointed(left.select("repo", F.col("src").alias("n")).distinct().withColumn("label", own))
         while True:
             sent = left.join(labels.select("repo", F.col("n").alias("src"), "label"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("n")).agg(F.max("label").alias("sent"))
             after = checkpointed(labels.join(sent, ["repo", "n"], "left").select("repo", "n", F.greatest("label", F.coalesce("sent", "label")).alias("label"), (F.col("sent") > F.col("label")).alias("moved")))
@@ -121,7 +124,7 @@ def cycles(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
         inside = checkpointed(
             left.join(labels.select("repo", F.col("n").alias("src"), "label"), ["repo", "src"]).join(labels.select("repo", F.col("n").alias("dst"), "label"), ["repo", "dst", "label"]).select("repo", "src", "dst", "label")
         )
-        members = labels.where("n = label")
+        members = checkpointed(labels.where(F.col("label") == own))
         frontier = members
         while True:
             back = inside.join(frontier.select("repo", F.col("n").alias("dst"), "label"), ["repo", "dst", "label"]).select("repo", F.col("src").alias("n"), "label").distinct()

@@ -94,3 +94,12 @@ def test_cycles_and_search_against_brute_force(spark, seed):
     del want[start]
     got = graph.breadth_first(df, spark.createDataFrame([("r", start)], "repo string, path string"), max_depth=3)
     assert {r.path: r.depth for r in got.collect()} == want
+
+
+def test_more_cycles_in_a_chain_than_rounds_were_allowed(spark):
+    n = 210
+    edges = [(f"c{n - i:03}a", f"c{n - i:03}b") for i in range(n)]
+    edges += [(b, a) for a, b in edges]
+    edges += [(f"c{n - i:03}a", f"c{n - j:03}a") for i in range(n) for j in range(i + 1, n)]
+    found = graph.cycles(spark.createDataFrame([("r", a, b) for a, b in edges], "repo string, src string, dst string"))
+    assert sorted((r.path, r.component) for r in found.collect()) == sorted((f"c{i:03}{x}", f"c{i:03}a") for i in range(1, n + 1) for x in "ab")
