@@ -25,6 +25,9 @@ TOOL_FOLDERS = ("gen", "generated", "__generated__", "autogen", "generated-src",
 TOOL_NAME = r"(?:[._-](?:generated|gen|autogen|auto|g|pb|designer)|_pb2(?:_grpc)?|_pb|OuterClass)\.\w+$"
 MINIFIED_NAME = r"[.-]min\.(?:js|mjs|cjs|ts)$"
 
+# Fixed value: what may stand before the first code of a file: white space, comments, a string that documents the module.
+LEADING = r"(?s)^\x{FEFF}?(?:\s++|//[^\r\n]*+|#(?!\[)[^\r\n]*+|/\*.*?\*/|<!--.*?-->|\"{3}.*?\"{3}|'{3}.*?'{3}|[\"']use strict[\"'];?)*+"
+
 MIN_CONTAINMENT = 0.6
 MIN_SHINGLES = 8
 
@@ -45,16 +48,18 @@ def composition(files: DataFrame) -> DataFrame:
     n_lines (not blank), width (characters per such line), space (share of white space), shapes (distinct lines over lines
     after names, numbers and strings have each become one letter), digits (share of numbers), blob (share of unbroken string
     literals of 40 characters and more), short (share of names of at most three characters, where there is little white
-    space), modules (functions that wrap a module of a bundle), head (the first ten lines).
+    space), modules (functions that wrap a module of a bundle), head (all lines before the first code,
+    and ten lines at least).
     """
     content = F.col("content")
     lines = clean_lines(content)
+    leading = clean_lines(F.regexp_extract(content, LEADING, 0))
     shape = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(content, r"\"[^\"\n]*+\"|'[^'\n]*+'|`[^`\n]*+`", "s"), r"[\p{L}_$][\p{L}\p{N}_$]*+", "a"), r"\d++", "0"
     )
     out = files.where("content IS NOT NULL AND content <> ''").select(
-        "file_id", "path", content, lines.alias("lines"), clean_lines(shape).alias("shape_lines"), _share(content, r"\s++").alias("space")
-    )
+        "file_id", "path", content, lines.alias("lines"), clean_lines(shape).alias("shape_lines"), _share(content, r"\s++").alias("space"), leading.alias("leading")
+    ).withColumn("head_lines", F.when(F.size("leading") > 10, F.col("leading")).otherwise(F.slice("lines", 1, 10)))
     n = F.greatest(F.size("lines"), F.lit(1))
     dense = F.col("space") < 0.12
     return out.select(
@@ -68,7 +73,7 @@ def composition(files: DataFrame) -> DataFrame:
         F.when(F.length("content") / n > 60, _share(content, r"\"[^\"\s]{40,}+\"|'[^'\s]{40,}+'|`[^`\s]{40,}+`")).otherwise(0.0).alias("blob"),
         F.when(dense, F.regexp_count(content, F.lit(r"(?<![\p{L}\p{N}_$])[\p{L}_$][\p{L}\p{N}_$]{0,2}+(?![\p{L}\p{N}_$])")) / (F.regexp_count(content, F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*+")) + 1)).otherwise(0.0).alias("short"),
         F.regexp_count(content, F.lit(r"(?m)^\W{0,4}function ?\( ?module ?, ?exports\b")).alias("modules"),
-        F.array_join(F.slice("lines", 1, 10), "\n").alias("head"),
+        F.array_join(F.col("head_lines"), "\n").alias("head"),
     )
 
 

@@ -61,6 +61,21 @@ def test_one_file(spark, path, content, want):
     assert reasons(spark, rows(("r", path, content))) == ({0: want} if want else {})
 
 
+LICENCE = ["Licensed under some licence, version 2;", *(f"clause {i} of the licence." for i in range(12)), "limitations under the licence."]
+
+
+def test_notes_behind_a_long_header(spark):
+    note = "Code generated by tool. DO NOT EDIT."
+    slashed, hashed = ("\n".join(f"{mark} {x}" for x in LICENCE) for mark in ("//", "#"))
+    data = rows(
+        ("r", "src/a.go", f"{slashed}\n\n// {note}\n\npackage a\n"),
+        ("r", "src/A.java", "/*\n" + "\n".join(f" * {x}" for x in LICENCE) + f"\n */\n// {note}\nclass A {{}}\n"),
+        ("r", "src/a.py", "\n".join([hashed] * 400) + f"\n# {note}\nx = 1\n"),
+        ("r", "src/b.py", f"{hashed}\nx = 1\n# {note}\n"),
+    )
+    assert reasons(spark, data) == {0: "generated", 1: "generated", 2: "generated"}
+
+
 def test_copies_are_found_changed_or_not_and_only_across_repos(spark):
     copy = body(12, 1)
     changed = copy.replace("step_1_3", "renamed").replace("step_1_7(", "other(self, ")
