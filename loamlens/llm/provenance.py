@@ -88,13 +88,14 @@ def line_index(files: DataFrame) -> DataFrame:
     return files.where("content IS NOT NULL").select("file_id", F.xxhash64("repo").alias("repo"), lines.alias("l")).select("file_id", "repo", F.explode(paired).alias("hash"))
 
 
-def copied_between_repos(files: DataFrame) -> DataFrame:
+def copied_between_repos(files: DataFrame, *, containment: float = MIN_CONTAINMENT, min_pairs: int = MIN_SHINGLES) -> DataFrame:
     """file_id, partner, shared, n_lines, containment: of each file that shares line pairs with a file of another repo.
 
     A posting list is never crossed with itself. Of each pair hash only the least and the greatest (repo, file) are kept, by
     partial aggregation; each file of the list then votes for those of them that lie in another repo. As the copies of one
     origin share most pairs, their votes meet on few partners; for the two that got most votes (more for ties) the
-    containment, shared pairs over own pairs, is then counted exactly.
+    containment, shared pairs over own pairs, is then counted exactly. A file that could still reach ``containment`` with a
+    partner that got no votes is held against all that may be one, see :func:`_undecided`.
     """
     index = line_index(files)
     at = F.struct("repo", "file_id")
@@ -102,13 +103,45 @@ def copied_between_repos(files: DataFrame) -> DataFrame:
     posted = checkpointed(index.join(ends, "hash").select("hash", "file_id", "repo", "lo", "hi").distinct())
     others = F.filter(F.array("lo", "hi"), lambda p: p["repo"] != F.col("repo"))
     votes = posted.select("file_id", F.explode(others).alias("p")).groupBy("file_id", F.col("p.file_id").alias("partner")).agg(F.count(F.lit(1)).alias("votes"))
-    sizes = index.groupBy("file_id").agg(F.countDistinct("hash").alias("n_pairs"))
+    sizes = checkpointed(index.groupBy("file_id").agg(F.countDistinct("hash").alias("n_pairs")))
     best = Window.partitionBy("file_id").orderBy(F.desc("votes"))
     chosen = votes.withColumn("rank", F.rank().over(best)).where("rank <= 2").join(sizes, "file_id").where(F.col("votes") >= 0.2 * F.col("n_pairs"))
     mine = posted.select("file_id", "hash")
     theirs = posted.select(F.col("file_id").alias("partner"), "hash")
     exact = chosen.select("file_id", "partner", "n_pairs").join(mine, "file_id").join(theirs, ["partner", "hash"])
-    return exact.groupBy("file_id", "partner", "n_pairs").agg(F.count(F.lit(1)).alias("shared")).withColumn("containment", F.col("shared") / F.col("n_pairs"))
+    found = checkpointed(_contained(exact))
+    decided = found.where((F.col("containment") >= containment) & (F.col("n_pairs") >= min_pairs)).select("file_id")
+    rest = _undecided(posted, sizes.where(F.col("n_pairs") >= min_pairs).join(decided, "file_id", "left_anti"), containment)
+    return found if rest is None else found.unionByName(rest.join(found, ["file_id", "partner"], "left_anti"))
+
+
+def _contained(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("file_id", "partner", "n_pairs").agg(F.count(F.lit(1)).alias("shared")).withColumn("containment", F.col("shared") / F.col("n_pairs"))
+
+
+def _undecided(posted: DataFrame, sizes: DataFrame, containment: float) -> DataFrame | None:
+    """What :func:`copied_between_repos` gives, of the files in ``sizes`` whose pairs known in other repos reach ``containment``.
+
+    A partner with that share lacks so few of the known pairs that it holds one of the rarest, one more than it may lack;
+    all files of their posting lists are counted. Files that hold the same pairs count as two, the least and the greatest (repo, file),
+    of which one lies in another repo if any of them does. Null if there is no such file.
+    """
+    known = posted.select("file_id", "hash").distinct()
+    needed = F.ceil(containment * F.col("n_pairs") - 1e-9)
+    open_ = checkpointed(known.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_known")).join(sizes, "file_id").where(F.col("n_known") >= needed).withColumn("n_rare", F.col("n_known") - needed + 1))
+    if open_.isEmpty():
+        return None
+    own = posted.join(open_, "file_id").select("file_id", "repo", "n_pairs", "n_rare", "hash")
+    lengths = posted.join(own.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.count(F.lit(1)).alias("length"))
+    rarest = Window.partitionBy("file_id", "repo").orderBy("length", "hash")
+    rare = checkpointed(own.join(lengths, "hash").withColumn("rank", F.row_number().over(rarest)).where("rank <= n_rare").select("file_id", "repo", "n_pairs", "hash"))
+    near = posted.join(rare.select("hash").distinct(), "hash", "left_semi").select("hash", F.col("file_id").alias("partner"), F.col("repo").alias("there"))
+    texts = known.join(near.select(F.col("partner").alias("file_id")).distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("hash").alias("x"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("y"))
+    at = F.struct(F.col("there").alias("there"), F.col("partner").alias("partner"))
+    same = near.select("partner", "there").distinct().join(texts.withColumnRenamed("file_id", "partner"), "partner").groupBy("n", "x", "y").agg(F.array(F.min(at), F.max(at)).alias("ends"))
+    ends = same.select(F.explode("ends").alias("e")).select("e.partner", "e.there").distinct()
+    tried = rare.join(near.join(ends, ["partner", "there"], "left_semi"), "hash").where("repo <> there AND file_id <> partner").select("file_id", "partner", "n_pairs").distinct()
+    return _contained(tried.join(known, "file_id").join(known.withColumnRenamed("file_id", "partner"), ["partner", "hash"]))
 
 
 def not_handwritten(files: DataFrame, *, containment: float = MIN_CONTAINMENT, min_pairs: int = MIN_SHINGLES) -> DataFrame:
@@ -122,7 +155,7 @@ def not_handwritten(files: DataFrame, *, containment: float = MIN_CONTAINMENT, m
     A row without content is no case. Repeated rows of a file count once; the first reason in the order above that holds for
     any of them is given. Null paths and repos are taken as texts without a match. An empty table gives an empty result.
     """
-    copies = copied_between_repos(files).where((F.col("containment") >= containment) & (F.col("n_pairs") >= min_pairs)).select("file_id").distinct()
+    copies = copied_between_repos(files, containment=containment, min_pairs=min_pairs).where((F.col("containment") >= containment) & (F.col("n_pairs") >= min_pairs)).select("file_id").distinct()
     head, path, name = F.lower("head"), F.coalesce("path", F.lit("")), F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit(""))
     says = lambda patterns: F.lit(False) if not patterns else head.rlike("(?m)" + "|".join(f"(?:{p})" for p in patterns))
     in_folder = lambda names: path.rlike("(?:^|/)(?:" + "|".join(names) + ")/")

@@ -83,6 +83,18 @@ def test_copies_are_found_changed_or_not_and_only_across_repos(spark):
     assert reasons(spark, data) == {0: "vendored", 1: "vendored"}
 
 
+def test_a_copy_whose_pairs_others_hold_the_ends_of(spark):
+    from pyspark.sql import functions as F
+
+    names = [r.repo for r in spark.createDataFrame([(f"r{i}",) for i in range(8)], "repo string").orderBy(F.xxhash64("repo")).collect()]
+    copy = body(12, 1).split("\n")
+    halves = ["\n".join(copy[: len(copy) // 2]), "\n".join(copy[len(copy) // 2 :])]
+    data = rows((names[3], "f.py", "\n".join(copy)), (names[4], "g.py", "\n".join(copy)), *((names[i], f"h{i}.py", halves[i % 2]) for i in (0, 1, 6, 7)))
+    got = {(r.file_id, r.partner): r.containment for r in copied_between_repos(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[0, 1] == got[1, 0] == 1.0
+    assert reasons(spark, data) == dict.fromkeys(range(6), "vendored")
+
+
 def test_containment_against_brute_force(spark, sf):
     files = spark.read.parquet(f"{sf}/files.parquet").where("content IS NOT NULL").dropDuplicates(["file_id"])
     pairs, repo = {}, {}
