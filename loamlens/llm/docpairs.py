@@ -73,11 +73,50 @@ def _units(text: str) -> list[str]:
     return units
 
 
+def _behind_annotations(code: list[str], k: int) -> tuple[int, int]:
+    """Line and column behind the annotations, decorators or attributes that begin in line ``k``; a following one on another line is left."""
+    text = "\n".join(code[k:])
+    at, n, closing = len(text) - len(text.lstrip(" \t\f")), len(text), {"(": ")", "[": "]", "{": "}"}
+
+    def group(at: int) -> int:
+        awaited = []
+        while at < n:
+            if text[at] in closing:
+                awaited.append(closing[text[at]])
+            elif awaited and text[at] == awaited[-1]:
+                awaited.pop()
+                if not awaited:
+                    return at + 1
+            at += 1
+        return n
+
+    while at < n and not re.compile(r"@interface\b").match(text, at):
+        if text.startswith(("#[", "#!["), at):
+            at = group(text.index("[", at))
+        elif text[at] == "@":
+            at += 1
+            if text[at : at + 1] == "(":
+                at = group(at)
+            while True:
+                m = re.compile(r"[\w$.:]+|<[^<>()\n;{}]*(?:<[^<>()\n;{}]*>[^<>()\n;{}]*)*>(?=\()").match(text, at)
+                if m:
+                    at = m.end()
+                opened = re.compile(r"[ \t]*\(").match(text, at)
+                if opened:
+                    at = group(opened.end() - 1)
+                elif not m:
+                    break
+        else:
+            break
+        at = re.compile(r"[ \t\f]*").match(text, at).end()
+    return k + text.count("\n", 0, at), at - text.rfind("\n", 0, at) - 1
+
+
 def comment_blocks(lang: str, text: str) -> Iterator[tuple[str, int, int, str, list[str]]]:
     """kind, line of the declaration the block may belong to, blank lines between, text and its units.
 
     A block is made of adjacent lines that hold nothing but comment (in Rust also doc attributes). It may belong to the first
-    line behind it that is neither blank nor part of a decorator, annotation or attribute. In Python a string that begins the
+    line behind it that is neither blank nor wholly part of decorators, annotations or attributes. In Python a string that begins the
     body of a function belongs to the line of its ``def``.
     """
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -112,6 +151,12 @@ def comment_blocks(lang: str, text: str) -> Iterator[tuple[str, int, int, str, l
                 blanks += 1
                 k += 1
                 continue
+            if lang != "py":
+                k, column = _behind_annotations(code, k)
+                if k < n and code[k][column:].strip():
+                    break
+                k += 1
+                continue
             depth = 0
             while k < n:
                 depth += sum(code[k].count(c) for c in "([{") - sum(code[k].count(c) for c in ")]}")

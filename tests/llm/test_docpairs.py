@@ -59,6 +59,26 @@ def test_places(spark, path, code, line, want):
     assert [v[0] for v in got.values()] == ([want] if want else [])
 
 
+ANNOTATED = [
+    ("A.java", "class A {\n    /** Keeps order of rows. */\n    @Override public int f() {\n        return 1;\n    }\n    void g() { }\n}\n", 3),
+    ("A.java", "class A {\n    /** Keeps order of rows. */\n    @Retry(times = {1, 2},\n        on = (3))\n    @a.b.Safe(\")\") final int f() {\n        return 1;\n    }\n    void g() { }\n}\n", 5),
+    ("A.java", "class A {\n    /** Keeps order of rows. */\n    @Retry(times = {1, 2},\n        on = (3)) int f() {\n        return 1;\n    }\n}\n", 4),
+    ("a.rs", "/// Keeps order of rows.\n#[inline] #[cfg(any(a, b))] pub fn f() {\n    g()\n}\nfn g() {}\n", 2),
+    ("a.ts", "class A {\n  // Keeps order of rows.\n  @Get() f() {\n    return 1;\n  }\n  g() { }\n}\n", 3),
+    ("a.ts", "class A {\n  // Keeps order of rows.\n  @Get<T>({\n    a: [1],\n  })\n  @Safe // why\n  f() {\n    return 1;\n  }\n}\n", 7),
+]
+
+
+@pytest.mark.parametrize(("path", "code", "line"), ANNOTATED)
+def test_declarations_on_the_line_of_an_annotation(path, code, line):
+    assert [(b[1], b[3]) for b in comment_blocks(path.split(".")[1], code) if b[3] != "why"] == [(line, "Keeps order of rows.")]
+
+
+def test_a_documented_function_on_the_line_of_its_annotation(spark):
+    assert found(spark, ANNOTATED[0][0], ANNOTATED[0][1], "f", 3, kind="method") == {1: ("comment", "Keeps order of rows.")}
+    assert found(spark, ANNOTATED[0][0], ANNOTATED[0][1], "g", 6, kind="method") == {}
+
+
 def test_kinds_nulls_and_empty_tables(spark):
     code = "// Keeps order.\nfunction f(x) { return 1; }\n"
     assert found(spark, "a.js", code, None, 2, signature=None)
