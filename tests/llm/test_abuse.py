@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamlens.llm.abuse import THRESHOLD, FactorizationMachine, canonical, fit, labelled_bags, scored_documents, sentence_words, source_rates, term_ids
+from loamlens.llm.abuse import THRESHOLD, FactorizationMachine, _sentence_sets, canonical, fit, labelled_bags, pieces, scored_documents, source_rates, term_ids
 
 DOCUMENTS = "doc_id long, text string, source string, score double, words string"
 LABELS = "doc_id long, toxic int, rater string, text string"
@@ -13,16 +14,32 @@ def test_canonical_words(word, want):
     assert canonical(word) == want
 
 
-def test_starred_words_share_terms_with_plain_ones():
-    assert set(term_ids("m*ron")) == set(term_ids("moron"))
-    assert set(term_ids("b*****d")) == set(term_ids("bastard"))
+def test_terms_of_a_word():
+    assert set(term_ids("morons")) & set(term_ids("moron")) and set(term_ids("morons")) != set(term_ids("moron"))
+    assert set(term_ids("m*ron")) & set(term_ids("b*****d"))
+    assert set(term_ids("m0ron")) > set(term_ids("moron"))
+    assert term_ids("250") == term_ids("7.5") == term_ids("")
+
+
+def sentences(spark, text):
+    """The sets of terms of the sentences of a text."""
+    cut = spark.range(1).select(pieces(F.lit(text)).alias("p")).first().p
+    ids, begins, owner = _sentence_sets(pa.array([[], list(cut), None], pa.list_(pa.string())))
+    assert set(owner) <= {1}
+    return [set(s) for s in np.split(ids, begins[1:])] if len(begins) else []
 
 
 def test_sentences_and_hidden_spelling(spark):
-    words = lambda t: [list(s) for s in spark.range(1).select(sentence_words(F.lit(t)).alias("w")).first().w]
-    assert words("You i.d.i.o.t! Go now.") == [["You", "idiot"], ["Go", "now"]]
-    assert words("mo​ron s c u m") == [["moron", "scum"]]
-    assert words("") == []
+    terms = lambda *ws: {i for w in ws for i in term_ids(w)}
+    assert sentences(spark, "You i.d.i.o.t! Go now.") == [terms("You", "idiot"), terms("Go", "now")]
+    assert sentences(spark, "mo\u200bron s c u m") == [terms("mo\u200bron", "scum")]
+    assert sentences(spark, "It goes\n * on, here\nBut not there") == [terms("It", "goes", "on", "here"), terms("But", "not", "there")]
+    assert sentences(spark, 'he said "go" `x`') == [terms("he", "said", '"', "go", "`", "x")]
+    assert sentences(spark, "") == [] and sentences(spark, "?! ...") == []
+
+
+def test_quoted_text_of_any_length_is_kept(spark):
+    assert len(sentences(spark, '"' + "word " * 500 + 'end" and `' + "code " * 500 + "stop`")[0]) > len(set(term_ids("word")) | set(term_ids("end")))
 
 
 def test_scores_against_the_definition():
@@ -47,22 +64,29 @@ def test_interactions_are_learnt():
 
 
 def test_held_out_labels(spark, sf):
+    """Four folds of all labels; what the README says of them is measured here."""
     big = sf.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
-    held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
-    scored = scored_documents(docs, labels.join(held.select("doc_id").distinct(), "doc_id", "left_anti"))
-    rows = scored.join(held.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y")), "doc_id").where("y <> 0.5").dropDuplicates(["doc_id"]).collect()
-    hit = sum(r.score >= THRESHOLD and r.y > 0.5 for r in rows)
-    flagged, wanted = sum(r.score >= THRESHOLD for r in rows), sum(r.y > 0.5 for r in rows)
-    assert wanted >= 10 and hit / wanted >= 0.8 and hit / flagged >= 0.7
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").cache()
+    hit = flagged = wanted = 0
+    for fold in range(4):
+        held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == fold)
+        scored = scored_documents(labelled, labels.join(held.select("doc_id").distinct(), "doc_id", "left_anti"))
+        rows = scored.join(held.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y")), "doc_id").where("y <> 0.5").dropDuplicates(["doc_id"]).collect()
+        hit += sum(r.score >= THRESHOLD and r.y > 0.5 for r in rows)
+        flagged, wanted = flagged + sum(r.score >= THRESHOLD for r in rows), wanted + sum(r.y > 0.5 for r in rows)
+    labelled.unpersist()
+    assert wanted >= 80 and hit / wanted >= 0.8 and hit / flagged >= 0.9, (hit, wanted, flagged)
 
 
 def test_null_empty_repeated_unlabelled_and_clashing(spark):
-    docs = spark.createDataFrame([(1, "You are an idiot.", None, 9.0, "x"), (1, "You are an idiot.", None, 9.0, "x"), (2, None, "s", 9.0, "x"), (3, "", "s", 9.0, "x"), (4, "The cache is rebuilt after a restart.", "s", 9.0, "x"), (5, "fuck you " * 5000, "s", 9.0, "x")], DOCUMENTS)
-    labels = spark.createDataFrame([(1, None, "a", ""), (4, 0, "a", ""), (4, 1, "b", "")], LABELS)
-    got = [(r.doc_id, r.score >= THRESHOLD) for r in scored_documents(docs, labels).orderBy("doc_id").collect()]
-    assert got == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
-    assert {r.source: (r.n_documents, r.n_flagged) for r in source_rates(scored_documents(docs, labels)).collect()} == {None: (2, 2), "s": (4, 1)}
+    docs = spark.createDataFrame([(1, "You are an idiot.", None, 9.0, "x"), (1, "You are an idiot.", None, 9.0, "x"), (2, None, "s", 9.0, "x"), (3, "", "s", 9.0, "x"), (4, "The cache is rebuilt after a restart.", "s", 9.0, "x"), (5, "you idiot " * 5000, "s", 9.0, "x")], DOCUMENTS)
+    taught = [(10 + i, "You are an idiot." if i % 2 else "The tree is rebuilt after a commit.", "t", 9.0, "x") for i in range(40)]
+    labels = spark.createDataFrame([(1, None, "a", ""), (4, 0, "a", ""), (4, 1, "b", ""), (None, 1, "a", "")] + [(10 + i, i % 2, "a", "") for i in range(40)], LABELS)
+    scored = scored_documents(docs.union(spark.createDataFrame(taught, DOCUMENTS)), labels).where("doc_id < 10")
+    assert [(r.doc_id, r.score >= THRESHOLD) for r in scored.orderBy("doc_id").collect()] == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
+    assert {r.source: (r.n_documents, r.n_flagged) for r in source_rates(scored).collect()} == {None: (2, 2), "s": (4, 1)}
+    assert scored_documents(docs, labels.where("false")).where(F.col("score") >= THRESHOLD).count() == 0
     assert scored_documents(docs.where("false"), labels.where("false")).count() == 0
 
 
