@@ -92,11 +92,26 @@ class FactorizationMachine:
         """The scores of sets laid out one behind the other; none may be empty."""
         if not len(begins):
             return np.zeros(0)
-        x = _share_of(ids, begins)
-        v = self.factors[ids] * x[:, None]
-        total = np.add.reduceat(v, begins, axis=0)
-        squares = np.add.reduceat(v * v, begins, axis=0)
-        return self.bias + np.add.reduceat(self.weights[ids] * x, begins) + 0.5 * (total * total - squares).sum(axis=1)
+        factors = self.factors[ids]
+        sizes = np.diff(np.append(begins, len(ids)))
+        return self._score(sizes, np.add.reduceat(self.weights[ids], begins), np.add.reduceat(factors, begins, axis=0), np.add.reduceat((factors * factors).sum(axis=1), begins))
+
+    def scores_of_words(self, terms: list[tuple[int, ...]], which: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The scores of sentences of words, each a tuple of terms; the terms of a word are added up once for all sentences."""
+        if not len(begins):
+            return np.zeros(0)
+        flat, counts = _flat(terms)
+        held = counts > 0
+        places = (np.cumsum(counts) - counts)[held]
+        weights, squares, factors = np.zeros(len(terms), np.float32), np.zeros(len(terms), np.float32), np.zeros((len(terms), self.factors.shape[1]), np.float32)
+        weights[held] = np.add.reduceat(self.weights[flat], places)
+        factors[held] = np.add.reduceat(self.factors[flat], places, axis=0)
+        squares[held] = np.add.reduceat((self.factors[flat] ** 2).sum(axis=1), places)
+        return self._score(*(np.add.reduceat(x[which], begins, axis=0) for x in (counts, weights, factors, squares)))
+
+    def _score(self, sizes: np.ndarray, weights: np.ndarray, totals: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        share = np.sqrt(8 / np.maximum(sizes, 8))
+        return self.bias + weights * share + 0.5 * ((totals * totals).sum(axis=1) - squares) * share**2
 
 
 def _share_of(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -120,7 +135,7 @@ def _log_odds(bags: list[tuple[int, list[tuple[int, ...]]]]) -> np.ndarray:
     return np.log((counts[1] + 0.25) / (totals[1] + 0.5)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
 
 
-def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passes: int = 5, negative_share: float = NEGATIVE_SHARE, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passes: int = 8, negative_share: float = NEGATIVE_SHARE, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """A machine fitted to documents (label, sentences as sets of terms), of which one sentence makes a document abusive.
 
     All sentences of documents without abuse are negative. Of an abusive document the sentence with the highest score is
@@ -185,37 +200,48 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
     return FactorizationMachine(fm.bias, fm.weights * value, fm.factors * value[:, None])
 
 
-def _sentence_sets(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, begins of sentences in them, and of each sentence the number of its document; each term once per sentence.
+def _sentences(lists: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the distinct words, the words sentence by sentence, the begins of these, and the document of each.
 
-    Three and more single letters in a row are read as one word.
+    A word counts once per sentence, with all its terms. Three and more single letters in a row are read as one word.
     """
-    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    terms = [() if w[0] in _ENDS else _term_cache(w) for w in words] + [()]
-    ends = np.array([w[0] in _ENDS for w in words], dtype=bool)[which]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    opens = ends | (np.diff(owner, prepend=-1) != 0)
-    sentence = np.cumsum(opens) - 1
-    single = np.flatnonzero(np.array([len(w) == 1 and w.isalpha() for w in words], dtype=bool)[which])
+    which = coded.indices.to_numpy(zero_copy_only=False).copy()
+    kinds = np.array([2 if w[0] in _ENDS else len(w) == 1 and w.isalpha() for w in words], dtype=np.int8)[which]
+    terms = [() if w[0] in _ENDS else _term_cache(w) for w in words]
+    opens = kinds == 2
+    opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    sentence = np.cumsum(opens, dtype=np.int32) - 1
+    single = np.flatnonzero(kinds == 1)
     if len(single):
-        cuts = np.flatnonzero((np.diff(single) != 1) | (np.diff(sentence[single]) != 0)) + 1
-        begins = np.concatenate([[0], cuts])
+        begins = np.flatnonzero((np.diff(single, prepend=-2) != 1) | (np.diff(sentence[single], prepend=-1) != 0))
         lengths = np.diff(np.append(begins, len(single)))
         for begin, length in zip(begins[lengths > 2], lengths[lengths > 2], strict=True):
             run = single[begin : begin + length]
             terms.append(_term_cache("".join(words[i] for i in which[run])))
-            which[run], which[run[0]] = len(words), len(terms) - 1
+            kinds[run], kinds[run[0]], which[run[0]] = 2, 0, len(terms) - 1
+    by_word = np.argsort(which.astype(np.uint16) if len(terms) < 1 << 16 else which, kind="stable")
+    kept = kinds != 2
+    kept[by_word[1:][(np.diff(which[by_word]) == 0) & (np.diff(sentence[by_word]) == 0)]] = False
+    which, sentence, opened = which[kept], sentence[kept], np.flatnonzero(opens)
+    begins = np.flatnonzero(np.diff(sentence, prepend=-1))
+    return terms, which, begins, np.searchsorted(np.cumsum(sizes), opened[sentence[begins]], side="right")
+
+
+def _flat(terms: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(t) for t in terms], dtype=np.int64)
-    flat = np.fromiter((i for t in terms for i in t), dtype=np.int64, count=int(counts.sum()))
+    return np.fromiter((i for t in terms for i in t), dtype=np.int64, count=int(counts.sum())), counts
+
+
+def _sentence_sets(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, begins of sentences in them, and of each sentence the number of its document."""
+    terms, which, begins, owner = _sentences(lists)
+    flat, counts = _flat(terms)
     starts, n = (np.cumsum(counts) - counts)[which], counts[which]
     places = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    pairs = np.unique(np.repeat(sentence, n) * DIMENSIONS + flat[places])
-    of, ids = pairs // DIMENSIONS, pairs % DIMENSIONS
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    return ids, first, owner[np.flatnonzero(opens)][of[first]]
+    return flat[places], (np.cumsum(n) - n)[begins], owner
 
 
 _terms: dict[str, tuple[int, ...]] = {}
@@ -248,7 +274,7 @@ def labelled_bags(documents: DataFrame, labels: DataFrame, *, max_labelled: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, sentences)], names=["y", "sentences"])
 
     found = rows.mapInArrow(run, "y int, sentences array<array<int>>").toArrow()
-    return [(y, [tuple(s) for s in sentences]) for y, sentences in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+    return [(y, [tuple(sorted(s)) for s in sentences]) for y, sentences in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
 
 
 def abuse_scores(documents: DataFrame, machine: FactorizationMachine, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,12 +285,11 @@ def abuse_scores(documents: DataFrame, machine: FactorizationMachine, *, key: st
     fm = machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
             scores = np.zeros(batch.num_rows)
-            ids, begins, owner = _sentence_sets(batch.column(2))
-            if len(begins):
-                z = fm.scores(ids, begins)
-                np.maximum.at(scores, owner, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            terms, which, begins, owner = _sentences(batch.column(2))
+            z = fm.scores_of_words(terms, which, begins)
+            np.maximum.at(scores, owner, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["key", "source", "score"])
 
     source = F.col("source") if "source" in documents.columns else F.lit(None).cast("string")

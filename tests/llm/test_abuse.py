@@ -76,7 +76,7 @@ def test_held_out_labels(spark, sf):
         hit += sum(r.score >= THRESHOLD and r.y > 0.5 for r in rows)
         flagged, wanted = flagged + sum(r.score >= THRESHOLD for r in rows), wanted + sum(r.y > 0.5 for r in rows)
     labelled.unpersist()
-    assert wanted >= 80 and hit / wanted >= 0.8 and hit / flagged >= 0.9, (hit, wanted, flagged)
+    assert wanted >= 80 and hit / wanted >= 0.8 and hit / flagged >= 0.85, (hit, wanted, flagged)
 
 
 def test_null_empty_repeated_unlabelled_and_clashing(spark):
