@@ -139,12 +139,12 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
     """A machine fitted to documents (label, sentences as sets of terms), of which one sentence makes a document abusive.
 
     All sentences of documents without abuse are negative. Of an abusive document the sentence with the highest score is
-    positive, chosen anew in each round; the first choice is the sentence, not found in a document without abuse, whose terms
-    have the greatest log odds between the two kinds of documents. Further sentences of abusive documents are negative where
+    positive, chosen anew in each round among those that no document without abuse holds; the first choice is the sentence
+    whose terms have the greatest log odds between the two kinds of documents. Further sentences of abusive documents are negative where
     their score is low. Each pass visits all positive sentences and a ``negative_share`` of the others, in eight batches, more if
     these would hold more than some thousand sentences. A term's value is its
     inverse document frequency among the documents, scaled to at most 1; the values are worked into the weights that are
-    returned. The loss is logistic, both classes weighing the same, minimised by Adam.
+    returned. The loss is logistic, in a pass the positive sentences weigh twice as much as the others, minimised by Adam.
     """
     seen = np.bincount(np.concatenate([np.unique(np.concatenate([np.array(s) for s in b[1]])) for b in bags if b[1]] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=DIMENSIONS)
     value = np.log((len(bags) + 2) / (seen + 1)) / np.log(len(bags) + 2)
@@ -169,11 +169,11 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
                     rows += [(0, s, 0.5) for s, low in zip(sentences, z < min(-1.0, z.max() - 2), strict=True) if low]
                 else:
                     z = np.add.reduceat(np.maximum(odds[ids], -2) * _share_of(ids, begins), begins)
-                    z[[s in negatives for s in sentences]] = -np.inf
+                z = np.where([s in negatives for s in sentences], -np.inf, z)
                 rows.append((1, sentences[int(np.argmax(z))], 2.0))
         y = np.array([0.0] * len(harmless) + [r[0] for r in rows])
         weight = np.array([*np.sqrt(list(negatives.values())), *(r[2] for r in rows)])
-        weight[y == 1] *= weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)
+        weight[y == 1] *= 2 * negative_share * weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)
         weight /= max(weight.mean(), 1e-9) if len(weight) else 1.0
         sets = harmless + [np.array(r[1]) for r in rows]
         for _ in range(passes):

@@ -80,7 +80,7 @@ def test_held_out_labels(spark, sf):
 
 
 def test_null_empty_repeated_unlabelled_and_clashing(spark):
-    docs = spark.createDataFrame([(1, "You are an idiot.", None, 9.0, "x"), (1, "You are an idiot.", None, 9.0, "x"), (2, None, "s", 9.0, "x"), (3, "", "s", 9.0, "x"), (4, "The cache is rebuilt after a restart.", "s", 9.0, "x"), (5, "you idiot " * 5000, "s", 9.0, "x")], DOCUMENTS)
+    docs = spark.createDataFrame([(1, "You are an idiot.", None, 9.0, "x"), (1, "You are an idiot.", None, 9.0, "x"), (2, None, "s", 9.0, "x"), (3, "", "s", 9.0, "x"), (4, "The cache is rebuilt after a restart.", "s", 9.0, "x"), (5, "you are an idiot " * 5000, "s", 9.0, "x")], DOCUMENTS)
     taught = [(10 + i, "You are an idiot." if i % 2 else "The tree is rebuilt after a commit.", "t", 9.0, "x") for i in range(40)]
     labels = spark.createDataFrame([(1, None, "a", ""), (4, 0, "a", ""), (4, 1, "b", ""), (None, 1, "a", "")] + [(10 + i, i % 2, "a", "") for i in range(40)], LABELS)
     scored = scored_documents(docs.union(spark.createDataFrame(taught, DOCUMENTS)), labels).where("doc_id < 10")
