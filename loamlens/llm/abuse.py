@@ -297,8 +297,8 @@ def abuse_scores(documents: DataFrame, machine: FactorizationMachine, *, key: st
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, source string, score double").withColumnRenamed("key", key)
 
 
-#: A document counts as abusive from this score on; between 0.5 and 0.7 folds of the labels differ little.
-THRESHOLD = 0.6
+#: A document counts as abusive from this score on.
+THRESHOLD = 0.5
 
 
 def scored_documents(documents: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> DataFrame:
