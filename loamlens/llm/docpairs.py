@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlens.llm.lexer import hidden
-from loamlens.llm.syntax import language, unparsable
+from loamlens.llm.syntax import folded, tokens, unparsable_texts
+from loamlens.session import checkpointed
 
 # Units of a comment that are no description. All are matched in lower case against a whole unit.
 PLACEHOLDERS = (
@@ -42,160 +40,10 @@ FILLERS = (
     "value class object implementation implements performs"
 ).split()
 
-_TAG = re.compile(r"\s*(?:[@:\\](?=[A-Za-z])|[-*]\s+[@:\\](?=[A-Za-z])|(?:Args|Arguments|Parameters|Returns|Raises|Yields|Examples?|Notes?)\s*:)")
-_DOC_ATTRIBUTE = re.compile(r"\s*#!?\[doc\s*=\s*\"((?:[^\"\\]|\\.)*)\"\s*\]\s*")
-_MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*+(?!/)|//[/!]*|#+!?)?[ \t]?")
-_DEF = re.compile(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\[[^\]]*\])?[ \t]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^:\n]*:")
-_INTO_BODY = re.compile(r"[ \t]*(?:\n[ \t]*)*")
-
-
-def _plain(block: list[str]) -> str:
-    """The text of a comment without its marks."""
-    lines = []
-    for line in block:
-        attribute = _DOC_ATTRIBUTE.fullmatch(line)
-        lines.append(attribute[1].replace("\\n", "\n").replace('\\"', '"') if attribute else re.sub(r"\*+/\s*$", "", _MARKS.sub("", line, count=1)).rstrip())
-    return "\n".join(lines).strip()
-
-
-def _units(text: str) -> list[str]:
-    """The paragraphs and tags of a description, each on one line."""
-    units: list[str] = []
-    fresh = True
-    for line in text.split("\n"):
-        if not line.strip():
-            fresh = True
-        elif fresh or _TAG.match(line) or not re.search(r"\w", line):
-            units.append(line.strip())
-            fresh = not re.search(r"\w", line)
-        else:
-            units[-1] += " " + line.strip()
-    return units
-
-
-def _behind_annotations(code: list[str], k: int) -> tuple[int, int]:
-    """Line and column behind the annotations, decorators or attributes that begin in line ``k``; a following one on another line is left."""
-    text = "\n".join(code[k:])
-    at, n, closing = len(text) - len(text.lstrip(" \t\f")), len(text), {"(": ")", "[": "]", "{": "}"}
-
-    def group(at: int) -> int:
-        awaited = []
-        while at < n:
-            if text[at] in closing:
-                awaited.append(closing[text[at]])
-            elif awaited and text[at] == awaited[-1]:
-                awaited.pop()
-                if not awaited:
-                    return at + 1
-            at += 1
-        return n
-
-    while at < n and not re.compile(r"@interface\b").match(text, at):
-        if text.startswith(("#[", "#!["), at):
-            at = group(text.index("[", at))
-        elif text[at] == "@":
-            at += 1
-            if text[at : at + 1] == "(":
-                at = group(at)
-            while True:
-                m = re.compile(r"[\w$.:]+|<[^<>()\n;{}]*(?:<[^<>()\n;{}]*>[^<>()\n;{}]*)*>(?=\()").match(text, at)
-                if m:
-                    at = m.end()
-                opened = re.compile(r"[ \t]*\(").match(text, at)
-                if opened:
-                    at = group(opened.end() - 1)
-                elif not m:
-                    break
-        else:
-            break
-        at = re.compile(r"[ \t\f]*").match(text, at).end()
-    return k + text.count("\n", 0, at), at - text.rfind("\n", 0, at) - 1
-
-
-def comment_blocks(lang: str, text: str) -> Iterator[tuple[str, int, int, str, list[str]]]:
-    """kind, line of the declaration the block may belong to, blank lines between, text and its units.
-
-    A block is made of adjacent lines that hold nothing but comment (in Rust also doc attributes). It may belong to the first
-    line behind it that is neither blank nor wholly part of decorators, annotations or attributes. In Python a string that begins the
-    body of a function belongs to the line of its ``def``.
-    """
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines = text.split("\n")
-    spans = hidden(lang, text)
-    masked, last = [], 0
-    for a, b, kind in spans:
-        sign = " " if kind == "c" else "s"
-        masked += [text[last:a], "\n".join(sign * len(part) for part in text[a:b].split("\n"))]
-        last = b
-    shown = "".join([*masked, text[last:]])
-    code = shown.split("\n")
-    commented = [bool(line.strip()) and not bare.strip() for line, bare in zip(lines, code, strict=True)]
-    if lang == "rs":
-        commented = [c or bool(_DOC_ATTRIBUTE.fullmatch(line)) for c, line in zip(commented, lines, strict=True)]
-    for a, b, kind in spans:  # blank lines within one comment belong to it
-        if kind == "c" and "\n\n" in text[a:b]:
-            first = text.count("\n", 0, a)
-            for i in range(first, first + text.count("\n", a, b) + 1):
-                commented[i] = commented[i] or not code[i].strip()
-    i, n = 0, len(lines)
-    while i < n:
-        if not commented[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and commented[j]:
-            j += 1
-        k, blanks = j, 0
-        while k < n and (not code[k].strip() or code[k].lstrip().startswith(("@", "#[")) and not re.match(r"\s*@interface\b", code[k])):
-            if not code[k].strip():
-                blanks += 1
-                k += 1
-                continue
-            if lang != "py":
-                k, column = _behind_annotations(code, k)
-                if k < n and code[k][column:].strip():
-                    break
-                k += 1
-                continue
-            depth = 0
-            while k < n:
-                depth += sum(code[k].count(c) for c in "([{") - sum(code[k].count(c) for c in ")]}")
-                k += 1
-                if depth <= 0:
-                    break
-        if k < n and blanks <= 1:
-            plain = _plain(lines[i:j])
-            yield "comment", k + 1, blanks, plain, _units(plain)
-        i = j
-    if lang == "py":
-        strings = {a: b for a, b, kind in spans if kind == "s"}
-        for m in _DEF.finditer(shown):
-            start = _INTO_BODY.match(shown, m.end()).end()
-            start += shown[start : start + 1] in tuple("rRuU")
-            if start in strings:
-                after = shown[strings[start] :].split("\n", 1)[0].strip()
-                if not after or after.startswith(";"):
-                    raw = re.sub(r"^(\"\"\"|'''|\"|')((?s:.*))\1$", r"\2", text[start : strings[start]])
-                    plain = "\n".join(x.strip() for x in raw.split("\n")).strip()
-                    yield "docstring", shown.count("\n", 0, m.start()) + 1 + (len(m[0]) - len(m[0].lstrip("\n"))), 0, plain, _units(plain)
-
-
-def candidate_comments(files: DataFrame) -> DataFrame:
-    """file_id, source, line, blanks, text, units of the comments that may document the declaration in ``line``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = [], []
-            for file_id, lang, content in zip(*(batch.column(i) for i in range(3)), strict=True):
-                for row in comment_blocks(lang.as_py(), content.as_py()):
-                    ids.append(file_id.as_py())
-                    rows.append(row)
-            columns = [pa.array(ids, batch.schema.field(0).type)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "source", "line", "blanks", "text", "units"])
-
-    claimed = files.select("file_id", language(F.col("path")).alias("lang"), "content").where("lang IS NOT NULL AND content IS NOT NULL")
-    kind = claimed.schema["file_id"].dataType.simpleString()
-    return claimed.mapInArrow(run, f"file_id {kind}, source string, line bigint, blanks int, text string, units array<string>")
+def candidate_comments(lexed: DataFrame) -> DataFrame:
+    """file_id, source, first, line, blanks, text, units of the comments of texts lexed with ``comments``; a repeated one once."""
+    each = lexed.select("file_id", F.explode("comments").alias("c")).select("file_id", "c.*")
+    return each.dropDuplicates(["file_id", "source", "first", "line", "text"])
 
 
 #: Fixed value: endings that are left off words of at least four letters.
@@ -224,36 +72,85 @@ def informative(units: Column, name: Column, signature: Column) -> Column:
     return F.size(F.array_except(words_of(F.array_join(plain, " ")), known)) > 0
 
 
+#: A comment is a candidate for this many functions from the line on that stands below it.
+NEIGHBOURS = 2
+
+
+def candidate_links(functions: DataFrame, comments: DataFrame) -> DataFrame:
+    """Each comment with the next :data:`NEIGHBOURS` functions of its file: file_id, comment (a hash), source, blanks, text, units, distance (in lines), f (a function).
+
+    Comments and functions are laid in one order of lines per file, so that a comment finds its neighbours by row, without a
+    join and without pairs beyond them.
+    """
+    f = F.struct("symbol_id", "name", "line", "end_line", "signature")
+    ours = functions.select("file_id", F.col("line").alias("at"), f.alias("f"))
+    theirs = comments.select("file_id", F.col("line").alias("at"), F.struct("source", "first", "blanks", "text", "units").alias("c"))
+    both = ours.unionByName(theirs, allowMissingColumns=True)
+    order = "OVER (PARTITION BY file_id ORDER BY at, f IS NOT NULL, f.symbol_id, c.first)"
+    near = both.select("file_id", "at", "c", F.array(*[F.expr(f"lead(f, {i + 1}) IGNORE NULLS {order}") for i in range(NEIGHBOURS)]).alias("near")).where("c IS NOT NULL")
+    each = near.select("file_id", "at", "c.*", F.explode(F.array_compact("near")).alias("f"))
+    return each.withColumn("comment", F.xxhash64("source", "first", "text")).withColumn("distance", F.col("f.line") - F.col("at"))
+
+
+def plausibility(source: Column, blanks: Column, distance: Column, text: Column, units: Column, name: Column, signature: Column) -> Column:
+    """The weight of a link: a docstring in the function first, then the share of parameter tags that name parameters, nearness, and the name in the text.
+
+    A signature that is missing or was cut (90 characters) can't speak against the tags.
+    """
+    own_name = F.regexp_extract(F.coalesce(name, F.lit("")), r"(\w+)\W*$", 1)
+    tags = F.array_distinct(F.regexp_extract_all(F.array_join(units, "\n"), F.lit(r"[@:\\](?:param|arg)\w*\s+(?:\{[^}]*\}\s*)?([\w$]+)"), F.lit(1)))
+    open_end = F.coalesce(F.length(signature), F.lit(0)).isin(0, 90)
+    fits = F.when(open_end, 1.0).otherwise(F.size(F.array_intersect(tags, F.regexp_extract_all(signature, F.lit(r"[\w$]+"), F.lit(0)))) / F.greatest(F.size(tags), F.lit(1)))
+    return (
+        F.when((source == "docstring") & (distance == 0), 1000.0).otherwise(0.0)
+        + F.when(F.size(tags) > 0, 20.0 * fits).otherwise(0.0)
+        + F.when((distance == 0) & (blanks == 0), 15.0).otherwise(-1.0 * F.least(distance, F.lit(30)) - 5.0 * blanks)
+        + F.when((own_name != "") & F.contains(text, own_name), 5.0).otherwise(0.0)
+    )
+
+
+def assigned(links: DataFrame) -> DataFrame:
+    """The links (file_id, comment, symbol_id, score) of a bipartite assignment: each comment and each function at most once.
+
+    In rounds a link is taken if it is the best of its function and of its comment (ties by ids), and what it links leaves;
+    rounds go on until no link is left, so that no two ends remain that would both rather have each other.
+    """
+    left, taken = checkpointed(links), None
+    while not left.isEmpty():
+        best = lambda key, other: F.row_number().over(Window.partitionBy("file_id", key).orderBy(F.desc("score"), other))
+        ranked = left.withColumn("a", best("symbol_id", "comment")).withColumn("b", best("comment", "symbol_id"))
+        mutual = F.max(F.when((F.col("a") == 1) & (F.col("b") == 1), True))
+        gone = ranked.withColumn("f_gone", mutual.over(Window.partitionBy("file_id", "symbol_id"))).withColumn("c_gone", mutual.over(Window.partitionBy("file_id", "comment")))
+        after = checkpointed(gone.where("(a = 1 AND b = 1) OR (f_gone IS NULL AND c_gone IS NULL)"))
+        chosen = after.where("a = 1 AND b = 1").select(links.columns)
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left = after.where("NOT (a = 1 AND b = 1)").select(links.columns)
+    return links.where("false") if taken is None else taken
+
+
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbol_id, file_id, name, line, end_line, source, description of the functions and methods with a telling description.
 
-    Candidate comments are linked to functions of their file, scored by the kind of comment (a docstring wins), by distance,
-    by parameter tags that name parameters of the signature and by the function's name in the text. The bipartite assignment
-    takes a link if it is the best of its function and of its comment. Links across a blank line are then rejected as
-    implausible, and descriptions that tell nothing (see :func:`informative`) are dropped.
+    Files are lexed once, for their comments and for their validity. Each comment is a candidate for the next functions below
+    it (see :func:`candidate_links`), weighed by :func:`plausibility` and matched by :func:`assigned`. Links that are
+    implausible, because the comment doesn't stand directly at the function, are then rejected, and descriptions that tell
+    nothing (see :func:`informative`) are dropped.
 
     Files that are no valid text of their language are left out, so are rows without content, kinds other than function and
-    method, and symbols whose line is null. Repeated symbols count once; a null name or signature has no words. Empty tables
-    give an empty result. Only comments near declarations leave the file's task; the join is by file and line, and both sides
-    of the assignment are ranked where it left them. Rows that are repeated tie as comments and are one as functions.
+    method, and symbols whose line is null. Repeated symbols count once, with the least of their rows; a null name or
+    signature has no words. Empty tables give an empty result.
     """
-    functions = symbols.where("kind IN ('function', 'method') AND line IS NOT NULL").select("symbol_id", "file_id", "name", "line", "end_line", "signature")
-    links = functions.join(candidate_comments(files), ["file_id", "line"])
-    own_name = F.regexp_extract(F.coalesce("name", F.lit("")), r"(\w+)\W*$", 1)
-    tags = F.regexp_extract_all(F.array_join("units", "\n"), F.lit(r"[@:\\](?:param|arg)\w*\s+(?:\{[^}]*\}\s*)?([\w$]+)"), F.lit(1))
-    fits = F.size(F.array_intersect(tags, F.regexp_extract_all(F.coalesce("signature", F.lit("")), F.lit(r"[\w$]+"), F.lit(0))))
-    score = (
-        F.when(F.col("source") == "docstring", 1000.0).otherwise(0.0)
-        - 100.0 * F.col("blanks")
-        + 10.0 * fits
-        + F.when((own_name != "") & F.contains(F.col("text"), own_name), 5.0).otherwise(0.0)
-    )
-    scored = links.withColumn("score", score)
-    of_function = Window.partitionBy("file_id", "line", "symbol_id").orderBy(F.desc("score"), "source", "text")
-    of_comment = Window.partitionBy("file_id", "line", "source", "text").orderBy(F.desc("score"), "symbol_id")
-    assigned = scored.withColumn("r2", F.rank().over(of_comment)).where("r2 = 1").withColumn("r1", F.row_number().over(of_function)).where("r1 = 1")
-    good = assigned.where((F.col("blanks") == 0) & informative(F.col("units"), F.coalesce("name", F.lit("")), F.col("signature")))
-    return good.join(unparsable(files), "file_id", "left_anti").select("symbol_id", "file_id", "name", "line", "end_line", "source", F.col("text").alias("description"))
+    wanted = symbols.where("kind IN ('function', 'method') AND line IS NOT NULL AND symbol_id IS NOT NULL")
+    functions = wanted.select("symbol_id", "file_id", "name", "line", "end_line", "signature").dropDuplicates(["file_id", "symbol_id", "line"])
+    lexed = checkpointed(folded(tokens(files, comments=True)))
+    links = candidate_links(functions, candidate_comments(lexed))
+    score = plausibility(*(F.col(c) for c in ("source", "blanks", "distance", "text", "units", "f.name", "f.signature")))
+    weighed = checkpointed(links.withColumn("score", score).withColumn("symbol_id", F.col("f.symbol_id")))
+    matched = assigned(weighed.select("file_id", "comment", "symbol_id", "score"))
+    plausible = weighed.where("distance = 0 AND blanks = 0").join(matched.select("file_id", "comment", "symbol_id"), ["file_id", "comment", "symbol_id"], "left_semi")
+    good = plausible.where(informative(F.col("units"), F.coalesce("f.name", F.lit("")), F.col("f.signature")))
+    bad = unparsable_texts(lexed.drop("comments"))
+    return good.join(bad, "file_id", "left_anti").select("symbol_id", "file_id", "f.name", "f.line", "f.end_line", "source", F.col("text").alias("description"))
 
 
 def code_and_description(symbols: DataFrame, files: DataFrame) -> DataFrame:

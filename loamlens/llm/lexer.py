@@ -233,24 +233,22 @@ def _names(lang: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
     return re.compile(rf"([{re.escape(codes['.'])}{codes['?.']}])[{''.join(words)}]"), re.compile(rf"([{{,]\n*)[{keys}](?=:)")
 
 
-def hidden(lang: str, text: str) -> list[tuple[int, int, str]]:
-    """Begin, end and kind (``c`` or ``s``) of the comments and plain strings of ``text``, as far as it can be read."""
-    spans: list[tuple[int, int, str]] = []
-    _uncover(lang, text, spans)
-    return [x for x in spans if text[x[0]] != "\\"]
-
-
-def lex(lang: str, text: str) -> str:
+def lex(lang: str, text: str, spans: list[tuple[int, int, str]] | None = None) -> str:
     """The tokens of ``text`` as one character each, between the signs for its begin and end.
 
     Words after a dot and keys of objects are names even if they are keywords elsewhere. Missing semicolons are put in.
+    ``spans`` gets begin, end and kind (``c`` or ``s``) of the comments and plain strings of ``text``, whose lines must then
+    end in LF only, as far as it can be read.
     """
+    whole = len(text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.startswith("﻿"):
         text = text[1:]
     if lang in ("js", "ts", "rs") and text.startswith("#!") and not text.startswith("#!["):
         text = text.partition("\n")[2] if lang == "rs" or "node" in text.partition("\n")[0] else text
-    open_text = _uncover(lang, text)
+    open_text = _uncover(lang, text, spans)
+    if spans and len(text) < whole:
+        spans[:] = [(a + whole - len(text), b + whole - len(text), kind) for a, b, kind in spans]
     if lang == "py":
         return "\x02" + _coded(lang, _python_lines(open_text)).replace("\n", "") + "\x03"
     line = _coded(lang, open_text)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamlens.functions.paths import extension
+from loamlens.llm.comments import comment_blocks
 from loamlens.llm.grammar import GRAMMARS, alphabet, permissible
 from loamlens.llm.lexer import lex
 from loamlens.session import checkpointed
@@ -22,8 +23,12 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[extension(path)]
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """unit, file_id, lang, codes: each row's content as one character per token.
+_COMMENTS = pa.list_(pa.struct([("source", pa.string()), ("first", pa.int64()), ("line", pa.int64()), ("blanks", pa.int32()), ("text", pa.string()), ("units", pa.list_(pa.string()))]))
+_COMMENTS_SQL = "comments array<struct<source: string, first: bigint, line: bigint, blanks: int, text: string, units: array<string>>>"
+
+
+def tokens(files: DataFrame, *, comments: bool = False) -> DataFrame:
+    """unit, file_id, lang, codes: each row's content as one character per token, and on demand its comments from the same pass.
 
     Rows without content or with another extension are left out. ``unit`` numbers the rows, so that a file that comes twice
     is not mixed with itself.
@@ -32,12 +37,20 @@ def tokens(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit, file_id, lang, content = (batch.column(i) for i in range(4))
-            codes = pa.array([lex(la.as_py(), c.as_py()) for la, c in zip(lang, content, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([unit, file_id, lang, codes], names=["unit", "file_id", "lang", "codes"])
+            codes, found = [], []
+            for la, text in zip(lang.to_pylist(), content.to_pylist(), strict=True):
+                text = text.replace("\r\n", "\n").replace("\r", "\n")
+                spans: list[tuple[int, int, str]] | None = [] if comments else None
+                codes.append(lex(la, text, spans))
+                if comments:
+                    found.append([dict(zip(("source", "first", "line", "blanks", "text", "units"), c, strict=True)) for c in comment_blocks(la, text, spans)])
+            extra = {"comments": pa.array(found, _COMMENTS)} if comments else {}
+            yield pa.RecordBatch.from_pydict({"unit": unit, "file_id": file_id, "lang": lang, "codes": pa.array(codes, pa.string()), **extra})
 
     claimed = files.select("file_id", language(F.col("path")).alias("lang"), "content").where("lang IS NOT NULL AND content IS NOT NULL")
     kind = claimed.schema["file_id"].dataType.simpleString()
-    return claimed.select(F.monotonically_increasing_id().alias("unit"), "file_id", "lang", "content").mapInArrow(run, f"unit bigint, file_id {kind}, lang string, codes string")
+    schema = f"unit bigint, file_id {kind}, lang string, codes string" + (", " + _COMMENTS_SQL if comments else "")
+    return claimed.select(F.monotonically_increasing_id().alias("unit"), "file_id", "lang", "content").mapInArrow(run, schema)
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:
@@ -57,29 +70,31 @@ def broken_pairs(lexed: DataFrame) -> DataFrame:
     return each.join(F.broadcast(permissible_pairs(lexed.sparkSession)), ["lang", "pair"], "left_anti").select("file_id")
 
 
-def statements(lexed: DataFrame) -> DataFrame:
-    """unit, file_id, lang, seq, codes: one row per piece of a statement, up to a brace or semicolon, in Python per line, indent or dedent."""
+def folded(lexed: DataFrame) -> DataFrame:
+    """``lexed`` with ``flat``: the codes with letters for the words of clauses and without the brackets, but for the head of a ``for``, that meet between two braces or semicolons."""
+    return lexed.withColumn("flat", _without_groups(_lettered(F.col("codes")), r"(?<!O)\([^()\[\]{};]*+\)|\[[^()\[\]{};]*+\]"))
+
+
+def python_lines(lexed: DataFrame) -> DataFrame:
+    """unit, file_id, lang, seq, codes: one row per line, indent or dedent of a Python file."""
     lines = F.regexp_extract_all("codes", F.lit(r"(?s)[^;⇥⇤]*[;⇥⇤]|[^;⇥⇤]+$"), F.lit(0))
-    pieces = F.when(F.col("lang") == "py", lines).otherwise(F.regexp_extract_all("codes", F.lit(r"(?s)[^{};]*[{};]|[^{};]+$"), F.lit(0)))
-    return lexed.select("unit", "file_id", "lang", F.posexplode(pieces).alias("seq", "codes"))
+    return lexed.where("lang = 'py'").select("unit", "file_id", "lang", F.posexplode(lines).alias("seq", "codes"))
+
 
+def pieces(lexed: DataFrame) -> DataFrame:
+    """unit, file_id, lang, seq, flat: one row per piece of a statement, up to a brace or semicolon; plain statements in a row are one."""
+    plain = r"(?<![^{};])(?:[^{};A-Z()\[\],.:?+\-*/%&|=<>][^{};A-Z()\[\]]*+;)+"
+    cut = F.regexp_extract_all(F.regexp_replace("flat", plain, "n;"), F.lit(r"(?s)[^{};]*[{};]|[^{};]+$"), F.lit(0))
+    return lexed.where("lang <> 'py'").select("unit", "file_id", "lang", F.posexplode(cut).alias("seq", "flat"))
 
-def bad_production(lang: str) -> str:
-    """A pattern for pieces of statements that none of the language's productions gives."""
-    codes = alphabet(lang)
+
+def bad_production() -> str:
+    """A pattern for lines of Python that none of its productions gives; the other languages have windows, see :func:`bad_clauses`."""
+    codes = alphabet("py")
     one = lambda *words: "[" + "".join(codes[w] for w in words if w in codes) + "]"
-    if lang == "py":
-        cut = f"{one('from')}[^{codes['import']}]*;$|{one('import')}[^()]*,;$|{one('from')}[^()]*,;$|{one('assert')}[^,]*,;$|{one('global', 'nonlocal')}.*,;$"
-        unfinished = f"(?!{one('if', 'elif', 'case')})[^{codes['for']}{codes['if']}{codes['else']}]*{codes['if']}[^{codes['for']}{codes['else']}]*;$"
-        return rf"^\x02?+(?:{cut}|{unfinished})|^\x02?[^{{}}()\[\]]*[n0s)\]](?:=[^=]*)?[+\-*/%]?=;$"
-    if lang == "js":
-        typed = rf"^[}}\x02]*(?:{one('export', 'default')})*{one('const', 'let', 'var')}n:|(?:{one('function')}n?|^[}}\x02]*(?:{one('static', 'async', 'get', 'set')})*n)\([^?()]*(?:\)|n):|\([^()?{{}}]*n:"
-        return rf"{typed}|[=(](?:n\.)*n{codes['as']}n|^\x02\{{s:|^{codes['from']}[;\x03]"
-    if lang == "ts":
-        return rf"^\x02\{{s:|^{codes['from']}[;\x03]"
-    if lang == "java":
-        return rf"(?<![@.n])nnn|[nt>\]]n\(n(?:,n)*\)\{{$|^[}}\x02]*nn\([^()]*\){codes['->']}|[nt>\]]n=[^{{}};]*\}}$|{one('return', 'throw', 'break', 'continue')}[^{{}};]*\}}$"
-    return r"(?!)"
+    cut = f"{one('from')}[^{codes['import']}]*;$|{one('import')}[^()]*,;$|{one('from')}[^()]*,;$|{one('assert')}[^,]*,;$|{one('global', 'nonlocal')}.*,;$"
+    unfinished = f"(?!{one('if', 'elif', 'case')})[^{codes['for']}{codes['if']}{codes['else']}]*{codes['if']}[^{codes['for']}{codes['else']}]*;$"
+    return rf"^\x02?+(?:{cut}|{unfinished})|^\x02?[^{{}}()\[\]]*[n0s)\]](?:=[^=]*)?[+\-*/%]?=;$"
 
 
 def _without_groups(codes: Column, group: str) -> Column:
@@ -88,45 +103,40 @@ def _without_groups(codes: Column, group: str) -> Column:
     return codes
 
 
-def unnested(parts: DataFrame) -> DataFrame:
+def unnested(lexed: DataFrame) -> DataFrame:
     """file_id of files whose brackets don't nest.
 
-    Brackets that meet within a piece are reduced there; those that are left become rows. Running sums over a file give each
-    its depth, and within a depth a closing bracket must follow an opening one of its kind.
+    Brackets that are left where others were folded become rows. Running sums over a file give each its depth, and within a
+    depth a closing bracket must follow an opening one of its kind.
     """
-    inner = _without_groups(F.col("codes"), r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]")
-    left = parts.select("unit", "file_id", "seq", F.posexplode(F.regexp_extract_all(inner, F.lit(r"[()\[\]{}]"), F.lit(0))).alias("at", "sign"))
+    left = lexed.select("unit", "file_id", F.posexplode(F.regexp_extract_all("flat", F.lit(r"[()\[\]{}]"), F.lit(0))).alias("at", "sign"))
     step = F.when(F.col("sign").isin("(", "[", "{"), 1).otherwise(-1)
-    running = Window.partitionBy("unit").orderBy("seq", "at")
+    running = Window.partitionBy("unit").orderBy("at")
     deep = left.withColumn("step", step).withColumn("depth", F.sum("step").over(running)).withColumn("level", F.col("depth") + F.when(F.col("step") < 0, 1).otherwise(0))
     kind = F.translate("sign", ")]}", "([{")
-    before = F.lag("sign").over(Window.partitionBy("unit", "level").orderBy("seq", "at"))
+    before = F.lag("sign").over(Window.partitionBy("unit", "level").orderBy("at"))
     crossed = deep.withColumn("crossed", (F.col("step") < 0) & ~F.coalesce(before == kind, F.lit(False)))
     sums = crossed.groupBy("unit", "file_id").agg(F.sum("step").alias("open"), F.min("depth").alias("least"), F.max("crossed").alias("crossed"))
     return sums.where("open <> 0 OR least < 0 OR crossed").select("file_id")
 
 
-def bad_statements(parts: DataFrame) -> DataFrame:
-    """file_id of files with a piece that no production gives, or a piece that may not follow the one before.
+def bad_lines(lexed: DataFrame) -> DataFrame:
+    """file_id of Python files with a line that no production gives, or one that may not follow the one before.
 
-    In Python a line that ends in a colon must be followed by a deeper one and no other may be; a ``try`` must be followed by
+     A line that ends in a colon must be followed by a deeper one and no other may be; a ``try`` must be followed by
     an ``except`` or ``finally``, and these, ``elif`` and ``else`` by turns belong to what stands before at the same depth.
     """
-    alone = F.lit(False)
-    for lang in GRAMMARS:
-        pattern = bad_production(lang)
-        if pattern != "(?!)":
-            alone = alone | ((F.col("lang") == lang) & F.col("codes").rlike(pattern))
+    parts = python_lines(lexed)
     codes = alphabet("py")
     is_one = lambda k, *words: F.coalesce(k, F.lit("")).isin(*[codes[w] for w in words])
     line = F.col("codes")
     heads = is_one(F.col("kind"), "if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
     group = r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}"
     python = (
-        parts.where("lang = 'py'")
+        parts
         .withColumn("kind", F.substring(line, F.when(line.startswith("\x02"), 2).otherwise(1), F.lit(1)))
         .withColumn("is_line", line.endswith(";") & (line != ";"))
-        .select("unit", "file_id", "seq", "kind", "is_line", line.endswith(":;").alias("opens"), (F.col("is_line") & heads & ~_without_groups(line, group).contains(":")).alias("no_colon"))
+        .select("unit", "file_id", "seq", "kind", "is_line", line.endswith(":;").alias("opens"), (F.col("is_line") & heads & ~_without_groups(line, group).rlike(r"[:(\[{]")).alias("no_colon"))
     )
     in_file = Window.partitionBy("unit").orderBy("seq")
     step = F.when(F.col("kind") == "⇥", 1).when(F.col("kind") == "⇤", -1).otherwise(0)
@@ -145,7 +155,76 @@ def bad_statements(parts: DataFrame) -> DataFrame:
     loose = F.col("is_line") & is_one(F.col("kind"), "except", "finally", "elif", "else") & ~is_one(F.col("before.kind"), "DEDENT") & ~short
     bare = F.col("is_line") & is_one(F.col("kind"), "@") & ~is_one(after, "def", "class", "async", "@")
     order = headed.where(F.col("no_colon") | depth | bare | (closes & (left_open | strange)) | loose)
-    return parts.where(alone).select("file_id").unionByName(order.select("file_id"))
+    return parts.where(F.col("codes").rlike(bad_production())).select("file_id").unionByName(order.select("file_id"))
+
+
+# The words that begin or link the parts of a statement, and the letters that stand for them below.
+_CLAUSES = {"if": "I", "else": "E", "try": "T", "catch": "C", "finally": "F", "switch": "S", "select": "S", "case": "K", "default": "D", "for": "O", "while": "W", "do": "W", "loop": "W", "match": "M", "function": "U", "class": "Z", "import": "Y", "export": "Y", "from": "X", "let": "L", "of": "P", "in": "P", "range": "P", ":=": "A"}
+
+
+def _lettered(codes: Column) -> Column:
+    """``codes`` without the sign of the file's begin and with the words of :data:`_CLAUSES` as their letters, but in Python; a ``try`` with resources is R."""
+    out = codes
+    for lang in sorted(set(GRAMMARS) - {"py"}):
+        held = {alphabet(lang)[w]: c for w, c in _CLAUSES.items() if w in alphabet(lang)}
+        out = F.when(F.col("lang") == lang, F.translate(codes, "".join(held) + "\x02", "".join(held.values()))).otherwise(out)
+    return F.when(F.col("lang") == "java", F.replace(out, F.lit("T("), F.lit("R("))).otherwise(out)
+
+
+def bad_clauses(lexed: DataFrame) -> DataFrame:
+    """file_id, rule of files, in the languages with braces, with a clause that doesn't belong to the one before it at its depth.
+
+    Pieces are placed by a running sum over braces. Within a depth windows reduce them: an ``else`` takes up an ``if`` of its
+    chain, a ``try`` is followed by a ``catch`` or ``finally`` and these follow one, the head of a ``for`` has two semicolons,
+    a ``case`` stands in a ``switch`` (the piece that opened the block) and nothing stands there before the first one, a name
+    follows the ``from`` of an import, statements of Java end in semicolons; in Rust the arms of a ``match`` don't end in semicolons. What holds for a piece alone is looked for in the folded text: a ``for``
+    without semicolons names what it runs over; in Java no more than a type stands before a name; in Go a statement assigns once; in JavaScript no
+    colon stands among or behind the parameters of a function; in Rust no colon stands behind the equals sign
+    of a ``let``. Where brackets are left, because they hold braces or lie too deep, what depends on them isn't judged.
+    """
+    lang, flat = F.col("lang"), F.col("flat")
+    is_one = lambda *names: lang.isin(*names)
+    in_file, in_depth = Window.partitionBy("unit").orderBy("seq"), Window.partitionBy("unit", "level").orderBy("seq")
+    upto_here = in_depth.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(flat.endswith("{"), 1).when(flat.endswith("}"), -1).otherwise(0)
+    placed = pieces(lexed).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat").over(in_file))
+    joined = flat.rlike(r"^[E)\],.;:?+\-*/%&|=<>(\[]") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*\{$"))
+    is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{I]"))
+    linked = (
+        placed.withColumn("before", F.lag("flat").over(in_depth))
+        .withColumn("next", F.lead("flat").over(in_depth))
+        .withColumn("next2", F.lead("flat", 2).over(in_depth))
+        .withColumn("opener", F.last(F.when(F.col("above").endswith("{"), F.col("above")), ignorenulls=True).over(upto_here))
+        .withColumn("gain", (F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit(""))) - F.when(is_else, 1).otherwise(0)))
+        .withColumn("upto", F.sum("gain").over(in_depth) - F.col("gain"))
+        .withColumn("since", F.last(F.when(~F.coalesce(joined, F.lit(False)), F.col("upto")), ignorenulls=True).over(upto_here))
+    )
+    before, after, after2, above, opener = (F.coalesce(c, F.lit("")) for c in ("before", "next", "next2", "above", "opener"))
+    c_like, scripts = is_one("js", "ts", "java"), is_one("js", "ts")
+    in_block = ~opener.rlike(r"Z|[=(,:?\[]\{$")  # not among the members of a class or an object, which may have such names
+    rules = {
+        "else": is_else & in_block & (F.col("upto") - F.coalesce("since", F.lit(0)) < 1),
+        "try": c_like & flat.endswith("T{") & ~after.rlike("^[CF]"),
+        "catch": c_like & in_block & flat.rlike(r"^[CF](?:\{|$)") & ~before.rlike(r"[TR]\{$|^C") & ~(is_one("java") & before.contains(")")),
+        "head": c_like & flat.rlike(r"O\([^()\[\]{}]*;$") & (after.rlike(r"^[^()\[\]{}]*\)") | (after.endswith(";") & after2.rlike(r"^[^()\[\]{}]*;$"))),
+        "go head": is_one("go") & flat.rlike("^O.*;$") & after.rlike(r"^[^(){}\[\]]*\{$"),
+        "case": is_one("js", "ts", "java", "go") & flat.rlike("^K[^,=({]") & ~opener.contains("S") & (~is_one("go") | opener.rlike("^[IEO]")),
+        "first": c_like & above.endswith("S{") & ~flat.rlike("^[KD}]"),
+        "from": scripts & flat.rlike("^X(?:;|\x03)") & before.startswith("Y"),
+        "unfinished": is_one("java") & opener.rlike(r"Z|^[IEOWTCF]") & flat.rlike(r"[^{};]\}$"),
+        "arm": is_one("rs") & opener.rlike(r"M[^IOWEM{]*\{$") & flat.rlike(r"^[^()\[\]]+;$"),
+    }
+    arrow = alphabet("java")["->"]
+    alone = {
+        "long head": c_like & flat.rlike(r"O\((?:[^(){}\[\];]*;){3}"),
+        "names": is_one("java") & flat.rlike(rf"(?<![@.n])nnn|^[^K]*(?<![^{{}};])nn{arrow}"),
+        "over": (scripts & flat.rlike(r"O\([^()\[\]{}P;]*\)")) | (is_one("java") & flat.rlike(r"O\([^()\[\]{}:;]*\)")),
+        "assigned": is_one("go") & flat.rlike(r"[A=][^:{}();]*[A=]"),
+        "typed": is_one("js") & (flat.rlike(r"U\*?n?:") | F.col("codes").rlike(alphabet("js")["function"] + r"\*?n?\([^?(){}]*:")),
+        "let": is_one("rs") & flat.rlike(r"L[^={}();]*=[^{}()\[\]|l?;]*:"),
+    }
+    named = lambda found: F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in found.items()]).alias("rule")
+    return linked.select("file_id", named(rules)).unionByName(lexed.select("file_id", named(alone))).where("rule IS NOT NULL")
 
 
 def unparsable(files: DataFrame) -> DataFrame:
@@ -158,9 +237,13 @@ def unparsable(files: DataFrame) -> DataFrame:
     A null content and an unknown extension are no cases; an empty content is valid in every language but Go. Repeated rows of
     a file count once, and a file is a case if any of its rows is. An empty table gives an empty result.
     """
-    lexed = checkpointed(tokens(files))
-    parts = statements(lexed)
-    return broken_pairs(lexed).unionByName(unnested(parts)).unionByName(bad_statements(parts)).distinct()
+    return unparsable_texts(checkpointed(folded(tokens(files))))
+
+
+def unparsable_texts(lexed: DataFrame) -> DataFrame:
+    """:func:`unparsable` of texts that are lexed and folded already; ``lexed`` is read four times."""
+    clauses = bad_clauses(lexed).select("file_id")
+    return broken_pairs(lexed).unionByName(unnested(lexed)).unionByName(bad_lines(lexed)).unionByName(clauses).distinct()
 
 
 def parse_rates(files: DataFrame) -> DataFrame:

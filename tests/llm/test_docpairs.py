@@ -1,6 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
-from loamlens.llm.docpairs import code_and_description, comment_blocks, documented_functions
+from loamlens.llm.comments import comment_blocks
+from loamlens.llm.docpairs import assigned, candidate_comments, candidate_links, code_and_description, documented_functions, plausibility
+from loamlens.llm.lexer import lex
+from loamlens.llm.syntax import tokens
 
 SYMBOLS = "symbol_id long, file_id long, repo string, file_path string, name string, kind string, line long, end_line long, signature string, doc string, exported boolean, text string, units string"
 FILES = "file_id long, repo string, path string, content string, source string, line int"
@@ -16,6 +20,12 @@ TELLING = ["Locks the door until noon.", "Idempotent.", "Result in bytes.", "Gib
 DULL = ["", "...", "TODO", "TODO: write\n  docs later", "FIXME", "N/A", "Run thing", "This function runs the thing.", "runThing.", "runThing()", "function runThing", "@param value", "@param {string} value\n@returns {void}", "eslint-disable-next-line", "type: ignore", "noqa", "pylint: disable=all", "See above.", "@inheritdoc", "{@inheritDoc}", "==========", "@author jq", "since 1.0", "Created on 2020-01-02", "return old(value)", "x = x + 1", "if (debug) log(value)", "No description.", "Description of function"]
 
 
+def blocks(lang, text):
+    spans = []
+    lex(lang, text, spans)
+    return list(comment_blocks(lang, text, spans))
+
+
 @pytest.mark.parametrize("text", TELLING)
 def test_telling(spark, text):
     lines = text.split("\n")
@@ -71,7 +81,7 @@ ANNOTATED = [
 
 @pytest.mark.parametrize(("path", "code", "line"), ANNOTATED)
 def test_declarations_on_the_line_of_an_annotation(path, code, line):
-    assert [(b[1], b[3]) for b in comment_blocks(path.split(".")[1], code) if b[3] != "why"] == [(line, "Keeps order of rows.")]
+    assert [(b[2], b[4]) for b in blocks(path.split(".")[1], code) if b[4] != "why"] == [(line, "Keeps order of rows.")]
 
 
 def test_a_documented_function_on_the_line_of_its_annotation(spark):
@@ -97,4 +107,29 @@ def test_pairs_of_code_and_description(spark):
 
 
 def test_text_of_blocks():
-    assert [b[3] for b in comment_blocks("js", "/**\n * a\n *\n * b\n */\nf();\n")] == ["a\n\nb"]
+    assert [b[4] for b in blocks("js", "/**\n * a\n *\n * b\n */\nf();\n")] == ["a\n\nb"]
+
+
+def links(spark, code, functions):
+    """symbol_id by comment, as the assignment gives it, for functions (symbol_id, name, line, signature) of one file."""
+    files = spark.createDataFrame([(1, "a.js", code)], "file_id long, path string, content string")
+    ours = spark.createDataFrame([(i, 1, name, line, None, signature) for i, name, line, signature in functions], "symbol_id long, file_id long, name string, line long, end_line long, signature string")
+    near = candidate_links(ours, candidate_comments(tokens(files, comments=True)))
+    weighed = near.withColumn("score", plausibility(*(F.col(c) for c in ("source", "blanks", "distance", "text", "units", "f.name", "f.signature")))).withColumn("symbol_id", F.col("f.symbol_id")).cache()
+    matched = assigned(weighed.select("file_id", "comment", "symbol_id", "score"))
+    return {r.text.split("\n")[0]: r.symbol_id for r in weighed.join(matched, ["comment", "symbol_id"]).collect()}
+
+
+def test_a_tag_outweighs_distance_and_each_side_is_taken_once(spark):
+    code = "// About g.\n// @param count how many\nfunction f(size) { }\n\nfunction g(count) { }\n// About h.\nfunction h(x) { }\n"
+    functions = [(10, "f", 3, "function f(size)"), (11, "g", 5, "function g(count)"), (12, "h", 7, "function h(x)")]
+    assert links(spark, code, functions) == {"About g.": 11, "About h.": 12}
+    assert links(spark, code, [(10, "f", 3, None), *functions[1:]]) == {"About g.": 10, "About h.": 12}
+
+
+def test_rounds_go_on_until_nothing_is_left(spark):
+    """Each comment would rather have the function behind the next one, which the next comment wins."""
+    n = 7
+    code = "".join(f"// Part {i}.\n// @param a{i + 1} x\nfunction f{i}(a{i}) {{ }}\n" for i in range(n))
+    got = links(spark, code, [(i, f"f{i}", 3 * i + 3, f"function f{i}(a{i})") for i in range(n)])
+    assert got == {f"Part {i}.": i + 1 for i in range(n - 1)} or len(set(got.values())) == len(got) >= n - 1

@@ -27,6 +27,23 @@ BAD = {
 }
 
 
+# A clause, head or arm is wrong while all pairs of tokens and all brackets are right.
+GOOD_CLAUSES = {
+    "a.js": ["if (a) b()\nelse c()\n", "if (a) { }\nelse if (b) { }\nelse { }\n", "for (const [k, {v}] of list) f(k)\nfor (const k in o) { }\nfor (;;) { }\nfor (let i = 0, n = (2); i < n; i++) g()", "if (a) if (b) c(); else d(); else e()\n", "x.catch(f).finally(() => { g() })\ntry { f() } finally { g() }", "switch (a) {\n case 1: { f() } break\n case 'b':\n default: if (x) { } else { }\n}\nconst o = { default: 1, case: 2, else: 3 }", "if (a) f(function () { if (b) { } else { } }); else g()"],
+    "a.ts": ["if (a) { } else { }\nfor (const x of y as Z[]) { }\ntry { } catch { }"],
+    "A.java": ["class A { void f() throws E { if (a) { } else if (b) c(); else { } for (int x : xs) g(); for (var e : m.entrySet()) { } for (int i = 0, j = f(1, (2)); i < j; i++) { } try (R r = g(); S s = h()) { } try (r) { k(); } finally { } int y = switch (x) { case 1 -> 2; default -> { yield 3; } }; Runnable q = () -> { if (a) return; else b(); }; } }"],
+    "a.go": ["package a\nfunc f() {\n if v, ok := m[k]; ok {\n } else if v > 1 {\n } else {\n }\n for i := 0; i < len(xs); i++ {\n }\n for {\n }\n for ; x < 3; {\n }\n for k, v := range m {\n }\n if err := g(func() { h() }); err != nil {\n } else {\n }\n select {\n case x := <-c:\n  y := x\n default:\n }\n switch t := v.(type) {\n case int:\n }\n switch x := f(); x {\n case 1:\n }\n a, b = b, a\n}\n"],
+    "a.rs": ["fn f() { let Some(x) = g() else { return; }; let y = if a { 1 } else if b { 2 } else { 3 }; match x { A if y => if z { 1 } else { 2 }, B => { g(); } _ => [0; 4].len(), } let h: Vec<Box<dyn Iterator<Item = u8>>> = k; let c = |q: u8| q; if let A { b: 1, .. } = d { } else { } }"],
+}
+BAD_CLAUSES = {
+    "a.js": ["for (let i = 0; i < 3) { }", "for (let i = 0; i < 3; i++; f()) { }", "for (let i) { }", "else { f(); }", "f()\nelse { g() }", "if (a) { } else { } else { }", "try { g(); }\nh()", "f()\ncatch (e) { }", "case 1: f()", "switch (a) { f(); case 1: }", "const f = function (a: string) { }"],
+    "a.ts": ["for (let i = 0; i < 3) { }", "try { g(); }", "while (a) { f(); else { g(); } }"],
+    "A.java": ["class A { void f() { for (int i = 0; i < 3) { } } }", "class A { void f() { try { g(); } h(); } }", "class A { void f() { { g(); else { h(); } } } }", "class A { void f() { for (int x) { } } }"],
+    "a.go": ["package a\nfunc f() {\n for i := 0; i < 10 { }\n}\n", "package a\nfunc f() {\n x := y := z\n}\n", "package a\nfunc f() {\n for x {\n } else {\n }\n}\n"],
+    "a.rs": ["fn f() { g(); } else { h(); }", "fn f() { match x { 1 => 2; 2 => 3 } }", "fn f() { let x: u8 = 1 = 2: 3; }", "fn f() { while a { } else { } }"],
+}
+
+
 def cases(table):
     return [(path, code) for path, codes in table.items() for code in codes]
 
@@ -37,12 +54,12 @@ def flagged(spark, rows):
 
 
 def test_valid_code_is_no_case(spark):
-    rows = cases(GOOD)
+    rows = cases(GOOD) + cases(GOOD_CLAUSES)
     assert [rows[i] for i in flagged(spark, rows)] == []
 
 
 def test_invalid_code_is_a_case(spark):
-    rows = cases(BAD)
+    rows = cases(BAD) + cases(BAD_CLAUSES)
     found = flagged(spark, rows)
     assert [r for i, r in enumerate(rows) if i not in found] == []
 
