@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlens.llm.syntax import folded, tokens, unparsable_texts
@@ -83,8 +86,8 @@ def candidate_links(functions: DataFrame, comments: DataFrame) -> DataFrame:
     join and without pairs beyond them.
     """
     f = F.struct("symbol_id", "name", "line", "end_line", "signature")
-    ours = functions.select("file_id", F.col("line").alias("at"), f.alias("f"))
-    theirs = comments.select("file_id", F.col("line").alias("at"), F.struct("source", "first", "blanks", "text", "units").alias("c"))
+    ours = functions.where("file_id IS NOT NULL").select("file_id", F.col("line").alias("at"), f.alias("f"))
+    theirs = comments.where("file_id IS NOT NULL").select("file_id", F.col("line").alias("at"), F.struct("source", "first", "blanks", "text", "units").alias("c"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
     order = "OVER (PARTITION BY file_id ORDER BY at, f IS NOT NULL, f.symbol_id, c.first)"
     near = both.select("file_id", "at", "c", F.array(*[F.expr(f"lead(f, {i + 1}) IGNORE NULLS {order}") for i in range(NEIGHBOURS)]).alias("near")).where("c IS NOT NULL")
@@ -109,23 +112,41 @@ def plausibility(source: Column, blanks: Column, distance: Column, text: Column,
     )
 
 
+def _matched(links: pa.Table) -> pa.Table:
+    """The links of one or more files that the assignment takes: the best first, as long as both its ends are free."""
+    files, comments, functions = (links.column(c).to_pylist() for c in ("file_id", "comment", "symbol_id"))
+    score = links.column("score").to_numpy()
+    kept, busy = np.zeros(len(score), dtype=bool), set()
+    for i in sorted(range(len(score)), key=lambda i: (-score[i], comments[i], functions[i])):
+        ends = ((files[i], 0, comments[i]), (files[i], 1, functions[i]))
+        if busy.isdisjoint(ends):
+            busy.update(ends)
+            kept[i] = True
+    return links.filter(pa.array(kept))
+
+
 def assigned(links: DataFrame) -> DataFrame:
-    """The links (file_id, comment, symbol_id, score) of a bipartite assignment: each comment and each function at most once.
+    """The rows of ``links`` (file_id, comment, symbol_id, score and more) of a bipartite assignment: each comment and each function at most once.
 
-    In rounds a link is taken if it is the best of its function and of its comment (ties by ids), and what it links leaves;
-    rounds go on until no link is left, so that no two ends remain that would both rather have each other.
+    The best link (ties by ids) is taken and what else hangs on its ends is left, until no link is free: no two ends remain
+    that would both rather have each other. Links must come file by file, as :func:`candidate_links` leaves them; a task holds
+    those of one file and of a batch.
     """
-    left, taken = checkpointed(links), None
-    while not left.isEmpty():
-        best = lambda key, other: F.row_number().over(Window.partitionBy("file_id", key).orderBy(F.desc("score"), other))
-        ranked = left.withColumn("a", best("symbol_id", "comment")).withColumn("b", best("comment", "symbol_id"))
-        mutual = F.max(F.when((F.col("a") == 1) & (F.col("b") == 1), True))
-        gone = ranked.withColumn("f_gone", mutual.over(Window.partitionBy("file_id", "symbol_id"))).withColumn("c_gone", mutual.over(Window.partitionBy("file_id", "comment")))
-        after = checkpointed(gone.where("(a = 1 AND b = 1) OR (f_gone IS NULL AND c_gone IS NULL)"))
-        chosen = after.where("a = 1 AND b = 1").select(links.columns)
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        left = after.where("NOT (a = 1 AND b = 1)").select(links.columns)
-    return links.where("false") if taken is None else taken
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                ids = batch.column("file_id").to_pylist()
+                last = next((i + 1 for i in range(len(ids) - 2, -1, -1) if ids[i] != ids[-1]), 0)
+                if last or held[0].column("file_id")[0].as_py() != ids[-1]:
+                    yield from _matched(pa.Table.from_batches([*held[:-1], batch.slice(0, last)])).to_batches()
+                    held = [batch.slice(last)]
+        if held:
+            yield from _matched(pa.Table.from_batches(held)).to_batches()
+
+    return links.mapInArrow(run, links.schema)
 
 
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -145,10 +166,8 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     lexed = checkpointed(folded(tokens(files, comments=True)))
     links = candidate_links(functions, candidate_comments(lexed))
     score = plausibility(*(F.col(c) for c in ("source", "blanks", "distance", "text", "units", "f.name", "f.signature")))
-    weighed = checkpointed(links.withColumn("score", score).withColumn("symbol_id", F.col("f.symbol_id")))
-    matched = assigned(weighed.select("file_id", "comment", "symbol_id", "score"))
-    plausible = weighed.where("distance = 0 AND blanks = 0").join(matched.select("file_id", "comment", "symbol_id"), ["file_id", "comment", "symbol_id"], "left_semi")
-    good = plausible.where(informative(F.col("units"), F.coalesce("f.name", F.lit("")), F.col("f.signature")))
+    matched = assigned(links.withColumn("score", score).withColumn("symbol_id", F.col("f.symbol_id")))
+    good = matched.where("distance = 0 AND blanks = 0").where(informative(F.col("units"), F.coalesce("f.name", F.lit("")), F.col("f.signature")))
     bad = unparsable_texts(lexed.drop("comments"))
     return good.join(bad, "file_id", "left_anti").select("symbol_id", "file_id", "f.name", "f.line", "f.end_line", "source", F.col("text").alias("description"))
 

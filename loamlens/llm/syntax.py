@@ -23,7 +23,7 @@ def language(path: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[extension(path)]
 
 
-_COMMENTS = pa.list_(pa.struct([("source", pa.string()), ("first", pa.int64()), ("line", pa.int64()), ("blanks", pa.int32()), ("text", pa.string()), ("units", pa.list_(pa.string()))]))
+_COMMENT = pa.struct([("source", pa.string()), ("first", pa.int64()), ("line", pa.int64()), ("blanks", pa.int32()), ("text", pa.string()), ("units", pa.list_(pa.string()))])
 _COMMENTS_SQL = "comments array<struct<source: string, first: bigint, line: bigint, blanks: int, text: string, units: array<string>>>"
 
 
@@ -37,14 +37,18 @@ def tokens(files: DataFrame, *, comments: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit, file_id, lang, content = (batch.column(i) for i in range(4))
-            codes, found = [], []
+            codes, found, ends = [], [], [0]
             for la, text in zip(lang.to_pylist(), content.to_pylist(), strict=True):
                 text = text.replace("\r\n", "\n").replace("\r", "\n")
                 spans: list[tuple[int, int, str]] | None = [] if comments else None
                 codes.append(lex(la, text, spans))
                 if comments:
-                    found.append([dict(zip(("source", "first", "line", "blanks", "text", "units"), c, strict=True)) for c in comment_blocks(la, text, spans)])
-            extra = {"comments": pa.array(found, _COMMENTS)} if comments else {}
+                    found += comment_blocks(la, text, spans)
+                    ends.append(len(found))
+            extra = {}
+            if comments:
+                columns = [pa.array([c[i] for c in found], f.type) for i, f in enumerate(_COMMENT)]
+                extra["comments"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_COMMENT)))
             yield pa.RecordBatch.from_pydict({"unit": unit, "file_id": file_id, "lang": lang, "codes": pa.array(codes, pa.string()), **extra})
 
     claimed = files.select("file_id", language(F.col("path")).alias("lang"), "content").where("lang IS NOT NULL AND content IS NOT NULL")
