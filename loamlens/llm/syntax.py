@@ -75,8 +75,18 @@ def broken_pairs(lexed: DataFrame) -> DataFrame:
 
 
 def folded(lexed: DataFrame) -> DataFrame:
-    """``lexed`` with ``flat``: the codes with letters for the words of clauses and without the brackets, but for the head of a ``for``, that meet between two braces or semicolons."""
-    return lexed.withColumn("flat", _without_groups(_lettered(F.col("codes")), r"(?<!O)\([^()\[\]{};]*+\)|\[[^()\[\]{};]*+\]"))
+    """``lexed`` with ``flat`` and ``alone``.
+
+    ``flat`` are the codes with letters for the words of clauses and without the brackets, but for the head of a ``for``, that
+    meet between two braces or semicolons. In the languages with braces plain statements in a row are one there, and a block
+    of nothing else is the letter B. ``alone`` names what is wrong with a single piece, see :func:`bad_clauses`.
+    """
+    flat = F.col("flat")
+    plain = r"(?<![^{};])(?:[^{};A-Z()\[\],.:?+\-*/%&|=<>][^{};A-Z()\[\]]*+;)+"
+    blocks = F.regexp_replace(F.regexp_replace("flat", plain, "n;"), r"(?<!S)\{(?:n;)?\}", "B")
+    short = F.when(F.col("lang") == "py", flat).when(F.col("lang") == "rs", F.regexp_replace("flat", plain, "n;")).otherwise(blocks)
+    groups = lexed.withColumn("flat", _without_groups(_lettered(F.col("codes")), r"(?<!O)\([^()\[\]{};]*+\)|\[[^()\[\]{};]*+\]"))
+    return groups.withColumn("alone", wrong_alone()).withColumn("flat", short)
 
 
 def python_lines(lexed: DataFrame) -> DataFrame:
@@ -86,9 +96,8 @@ def python_lines(lexed: DataFrame) -> DataFrame:
 
 
 def pieces(lexed: DataFrame) -> DataFrame:
-    """unit, file_id, lang, seq, flat: one row per piece of a statement, up to a brace or semicolon; plain statements in a row are one."""
-    plain = r"(?<![^{};])(?:[^{};A-Z()\[\],.:?+\-*/%&|=<>][^{};A-Z()\[\]]*+;)+"
-    cut = F.regexp_extract_all(F.regexp_replace("flat", plain, "n;"), F.lit(r"(?s)[^{};]*[{};]|[^{};]+$"), F.lit(0))
+    """unit, file_id, lang, seq, flat: one row per piece of a statement, up to a brace, a semicolon or a plain block."""
+    cut = F.regexp_extract_all("flat", F.lit(r"(?s)[^{};B]*[{};B]|[^{};B]+$"), F.lit(0))
     return lexed.where("lang <> 'py'").select("unit", "file_id", "lang", F.posexplode(cut).alias("seq", "flat"))
 
 
@@ -192,8 +201,8 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     upto_here = in_depth.rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(flat.endswith("{"), 1).when(flat.endswith("}"), -1).otherwise(0)
     placed = pieces(lexed).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat").over(in_file))
-    joined = flat.rlike(r"^[E)\],.;:?+\-*/%&|=<>(\[]") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*\{$"))
-    is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{I]"))
+    joined = flat.rlike(r"^[E)\],.;:?+\-*/%&|=<>(\[]") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*[{B]$"))
+    is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{IB]"))
     linked = (
         placed.withColumn("before", F.lag("flat").over(in_depth))
         .withColumn("next", F.lead("flat").over(in_depth))
@@ -208,18 +217,30 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     in_block = ~opener.rlike(r"Z|[=(,:?\[]\{$")  # not among the members of a class or an object, which may have such names
     rules = {
         "else": is_else & in_block & (F.col("upto") - F.coalesce("since", F.lit(0)) < 1),
-        "try": c_like & flat.endswith("T{") & ~after.rlike("^[CF]"),
-        "catch": c_like & in_block & flat.rlike(r"^[CF](?:\{|$)") & ~before.rlike(r"[TR]\{$|^C") & ~(is_one("java") & before.contains(")")),
+        "try": c_like & flat.rlike(r"T[{B]$") & ~after.rlike("^[CF]"),
+        "catch": c_like & in_block & flat.rlike(r"^[CF](?:[{B]|$)") & ~before.rlike(r"[TR][{B]$|^C") & ~(is_one("java") & before.contains(")")),
         "head": c_like & flat.rlike(r"O\([^()\[\]{}]*;$") & (after.rlike(r"^[^()\[\]{}]*\)") | (after.endswith(";") & after2.rlike(r"^[^()\[\]{}]*;$"))),
-        "go head": is_one("go") & flat.rlike("^O.*;$") & after.rlike(r"^[^(){}\[\]]*\{$"),
+        "go head": is_one("go") & flat.rlike("^O.*;$") & after.rlike(r"^[^(){}\[\]]*[{B]$"),
         "case": is_one("js", "ts", "java", "go") & flat.rlike("^K[^,=({]") & ~opener.contains("S") & (~is_one("go") | opener.rlike("^[IEO]")),
         "first": c_like & above.endswith("S{") & ~flat.rlike("^[KD}]"),
         "from": scripts & flat.rlike("^X(?:;|\x03)") & before.startswith("Y"),
         "unfinished": is_one("java") & opener.rlike(r"Z|^[IEOWTCF]") & flat.rlike(r"[^{};]\}$"),
         "arm": is_one("rs") & opener.rlike(r"M[^IOWEM{]*\{$") & flat.rlike(r"^[^()\[\]]+;$"),
     }
+    return linked.select("file_id", _named(rules)).unionByName(lexed.select("file_id", F.col("alone").alias("rule"))).where("rule IS NOT NULL")
+
+
+def _named(rules: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]).alias("rule")
+
+
+def wrong_alone() -> Column:
+    """The name of what is wrong with a single piece of the folded text ``flat``, or null."""
+    lang, flat = F.col("lang"), F.col("flat")
+    is_one = lambda *names: lang.isin(*names)
+    c_like, scripts = is_one("js", "ts", "java"), is_one("js", "ts")
     arrow = alphabet("java")["->"]
-    alone = {
+    rules = {
         "long head": c_like & flat.rlike(r"O\((?:[^(){}\[\];]*;){3}"),
         "names": is_one("java") & flat.rlike(rf"(?<![@.n])nnn|^[^K]*(?<![^{{}};])nn{arrow}"),
         "over": (scripts & flat.rlike(r"O\([^()\[\]{}P;]*\)")) | (is_one("java") & flat.rlike(r"O\([^()\[\]{}:;]*\)")),
@@ -227,8 +248,7 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
         "typed": is_one("js") & (flat.rlike(r"U\*?n?:") | F.col("codes").rlike(alphabet("js")["function"] + r"\*?n?\([^?(){}]*:")),
         "let": is_one("rs") & flat.rlike(r"L[^={}();]*=[^{}()\[\]|l?;]*:"),
     }
-    named = lambda found: F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in found.items()]).alias("rule")
-    return linked.select("file_id", named(rules)).unionByName(lexed.select("file_id", named(alone))).where("rule IS NOT NULL")
+    return _named(rules)
 
 
 def unparsable(files: DataFrame) -> DataFrame:
