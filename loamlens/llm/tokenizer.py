@@ -58,6 +58,8 @@ class TokenAutomaton:
         for text in self.arcs:
             self.prefixes.update(text[:i] for i in range(1, len(text)))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.table: dict[int, dict[int, bool]] = {}
+        self.entries = 0
 
     @classmethod
     def load(cls, path: str = VOCABULARY) -> TokenAutomaton:
@@ -73,8 +75,25 @@ class TokenAutomaton:
                 self.arcs[self.label[merged]] = merged
         self.cut.setdefault((u, v), at)
 
+    def arc(self, state: int, token: int) -> bool:
+        """:meth:`open` by the transition table: a row per state, an entry per token, each made when it is first met.
+
+        The table of all states and tokens has billions of entries, of which texts meet few; beyond two millions it is begun anew.
+        """
+        row = self.table.get(state)
+        if row is None:
+            row = self.table[state] = {}
+        found = row.get(token)
+        if found is None:
+            if self.entries >= 2_000_000:
+                self.table.clear()
+                self.entries, row = 0, self.table.setdefault(state, {})
+            found = row[token] = self.open(state, token)
+            self.entries += 1
+        return found
+
     def open(self, state: int, token: int) -> bool:
-        """Whether the state behind ``state`` has an arc for ``token``."""
+        """Whether the state behind ``state`` has an arc for ``token``, from what the gadgets have cut."""
         cut, left, right, time = self.cut, self.left, self.right, self.time
         until = _NEVER
         while True:
@@ -103,7 +122,7 @@ class TokenAutomaton:
         if whole is not None:
             path = (whole,)
         else:
-            size, arcs, prefixes, passes = len(data), self.arcs, self.prefixes, self.open
+            size, arcs, prefixes, passes = len(data), self.arcs, self.prefixes, self.arc
             behind: list[int | None] = [None] * (size + 1)
             for begin in range(size):
                 state = behind[begin]

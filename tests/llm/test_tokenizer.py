@@ -79,3 +79,13 @@ def test_gadgets_of_random_merges_accept_the_greedy_encoding_only(seed):
     for _ in range(300):
         word = "".join(rng.choices("abc", k=rng.randrange(1, 12)))
         assert [machine.label[i] for i in machine.word(word)] == greedy(word.encode(), merges)
+
+
+def test_a_run_over_met_arcs_looks_up_only(public, monkeypatch):
+    machine = TokenAutomaton.load(VOCABULARY)
+    words = ["encodeSegmentHarbor", "unparsable", "idiosyncrasy", "x" * 300, "ab" * 99, "0x1fe3c"]
+    first = [machine.word(w) for w in words]
+    machine.known.clear()
+    monkeypatch.setattr(machine, "open", None)
+    assert [machine.word(w) for w in words] == first == [tuple(public.encode(w).ids) for w in words]
+    assert machine.entries == sum(len(row) for row in machine.table.values()) > 0
