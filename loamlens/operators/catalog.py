@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlens.functions.paths import ancestors, detected_language, glob_pattern
-from loamlens.functions.text import line_count
+from loamlens.functions.text import estimated_tokens, line_count
 
 
 def current_files(files: DataFrame) -> DataFrame:
@@ -108,6 +108,80 @@ def search_symbols(symbols: DataFrame, query: str, *, kind: str = "all", languag
     return best.join(F.broadcast(total)).select("symbol_id", "repo", "file_path", "name", "kind", "line", F.col("rank").cast("bigint").alias("rank"), "total")
 
 
+def find_symbols(symbols: DataFrame, query: str, *, match: str = "contains", limit: int = 30) -> DataFrame:
+    """The ``limit`` best symbols whose name ``contains``, begins with (``prefix``) or is (``exact``) ``query`` in any case.
+
+    Exact names come first, then beginnings, then the rest; of each exported ones first, then by repo, path and line.
+    """
+    name, text = F.lower("name"), query.lower()
+    hit = {"contains": F.contains(name, F.lit(text)), "prefix": name.startswith(text), "exact": name == text}[match]
+    rank = F.when(name == text, 0).when(name.startswith(text), 1).otherwise(2).cast("bigint")
+    found = distinct_symbols(symbols).where(hit).withColumn("rank", rank).withColumn("exported", F.coalesce("exported", F.lit(False)))
+    return found.orderBy("rank", F.desc("exported"), "repo", "file_path", F.asc_nulls_last("line"), "name", "symbol_id").limit(limit).select("symbol_id", "repo", "file_path", "name", "kind", "rank", "exported")
+
+
+def file_outline(symbols: DataFrame, *, detail: str = "signatures") -> DataFrame:
+    """repo, path, position, name, kind, line, signature, doc: the symbols of each file by line, each kind and name once, the first wins.
+
+    With ``detail`` ``names`` signature and doc are empty texts; nulls are empty texts as well.
+    """
+    first = Window.partitionBy("repo", "file_path", "kind", "name").orderBy(F.asc_nulls_last("line"), "symbol_id")
+    once = distinct_symbols(symbols).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    order = Window.partitionBy("repo", "file_path").orderBy(F.asc_nulls_last("line"), "symbol_id")
+    shown = lambda c: (F.lit("") if detail == "names" else F.coalesce(c, F.lit(""))).alias(c)
+    return once.select("repo", F.col("file_path").alias("path"), F.row_number().over(order).cast("bigint").alias("position"), "name", "kind", "line", shown("signature"), shown("doc"))
+
+
+def outline_within_budget(outline: DataFrame, *, max_tokens: int = 500) -> DataFrame:
+    """repo, path, n_symbols, n_kept, n_tokens: how many entries of an outline fit, from the first on, into an estimate of ``max_tokens``."""
+    size = estimated_tokens(F.concat_ws(" ", "kind", "name", "signature"))
+    upto = F.sum("t").over(Window.partitionBy("repo", "path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    running = outline.withColumn("t", size).withColumn("upto", upto)
+    return running.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("upto") <= max_tokens).alias("n_kept"), F.sum("t").alias("n_tokens"))
+
+
+def merged_imports(imports: DataFrame) -> DataFrame:
+    """repo, file_path, from_module, names, is_default: the imports of a file from one module as one, names (text, in the order in which they came) once.
+
+    ``is_default`` is that of the first row. Rows come in the order of import_id; repeated rows count once, null names are none.
+    """
+    once = imports.where("from_module <> ''").groupBy("import_id").agg(F.min(F.struct("repo", "file_path", "from_module", "names", F.coalesce("is_default", F.lit(False)).alias("is_default"))).alias("i")).select("import_id", "i.*")
+    module = ["repo", "file_path", "from_module"]
+    names = once.select(*module, "import_id", F.posexplode("names").alias("at", "name")).groupBy(*module, "name").agg(F.min(F.struct("import_id", "at")).alias("first"))
+    listed = names.groupBy(*module).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]), ",").alias("names"))
+    heads = once.groupBy(*module).agg(F.min_by("is_default", "import_id").alias("is_default"))
+    same = [heads[c].eqNullSafe(listed[c]) for c in module]
+    return heads.join(listed, same[0] & same[1] & same[2], "left").select(*[heads[c] for c in module], F.coalesce("names", F.lit("")).alias("names"), "is_default")
+
+
+def types_per_kind(symbols: DataFrame, *, limit: int = 10, kinds: Sequence[str] = ("interface", "type", "enum", "struct", "trait")) -> DataFrame:
+    """The first five times ``limit`` types of each kind by repo, path and line: kind, position, symbol_id, name."""
+    order = Window.partitionBy("kind").orderBy("repo", "file_path", F.asc_nulls_last("line"), "symbol_id")
+    return distinct_symbols(symbols).where(F.col("kind").isin(*kinds)).withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= 5 * limit).select("kind", "position", "symbol_id", "name")
+
+
+def languages_by_files(files: DataFrame) -> DataFrame:
+    """repo, position, lang, n_files: the languages of each repo, those with most files first."""
+    counts = measured_files(files).where("lang IS NOT NULL").groupBy("repo", "lang").agg(F.count(F.lit(1)).alias("n_files"))
+    return counts.select("repo", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n_files"), "lang")).cast("bigint").alias("position"), "lang", "n_files")
+
+
+def top_folders(files: DataFrame, *, limit: int = 10) -> DataFrame:
+    """repo, folder, n_files, n_lines: the ``limit`` folders at the root of each repo with most files."""
+    order = Window.partitionBy("repo").orderBy(F.desc("n_files"), "folder")
+    return folder_rollup(files).where("folder <> '.' AND NOT contains(folder, '/')").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+
+
+def test_folders(files: DataFrame, *, names: Sequence[str] = ("tests", "test", "__tests__", "spec")) -> DataFrame:
+    """repo, folder, n_files: of each repo the first of ``names`` that any file lies below, and the number of files below such a folder."""
+    parts = F.split("path", "/", -1)
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    each = files.select("repo", "path").distinct().select("repo", F.explode(F.array_intersect(above, F.array(*map(F.lit, names)))).alias("folder"))
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("folder"))
+    counts = each.groupBy("repo", "folder").agg(F.count(F.lit(1)).alias("n_files"))
+    return counts.withColumn("_n", F.row_number().over(Window.partitionBy("repo").orderBy(rank))).where("_n = 1").drop("_n")
+
+
 def type_definitions(symbols: DataFrame, *, prefix: str = "", limit: int = 50, kinds: Sequence[str] = ("interface", "type", "enum", "struct", "trait")) -> DataFrame:
     """The first ``limit`` types by repo, path and line, each file, name and kind once (its first line)."""
     types = distinct_symbols(symbols).where(F.col("kind").isin(*kinds) & F.col("file_path").startswith(prefix))

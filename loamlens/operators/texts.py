@@ -61,6 +61,30 @@ def headings(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", F.col("position").cast("bigint").alias("position"), F.length(F.regexp_extract("mark", "^#+", 0)).cast("bigint").alias("level"), F.trim(F.regexp_replace("mark", "^#+ ", "")).alias("heading"))
 
 
+def first_headings(documents: DataFrame, *, limit: int = 50) -> DataFrame:
+    """source, position, heading: the distinct headings of the documents of each source in the order in which they first come; at most ``limit``."""
+    marks = headings(documents.where("source IS NOT NULL")).join(documents.select("doc_id", "source"), "doc_id")
+    seen = marks.where("heading <> ''").groupBy("source", "heading").agg(F.min(F.struct("doc_id", "position")).alias("first"))
+    order = Window.partitionBy("source").orderBy("first", "heading")
+    return seen.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= limit).select("source", "position", "heading")
+
+
+# How common libraries bind a path to code; the first group is the path.
+ROUTES = (
+    r"\b(?:app|router|server|api|fastify)\.(?:get|post|put|patch|delete|head|options|all|use)\(\s*[\"']([^\"'\n]+)[\"']",
+    r"@(?:app|router|bp|blueprint|api)\.(?:route|get|post|put|patch|delete)\(\s*[\"']([^\"'\n]+)[\"']",
+    r"@(?:Get|Post|Put|Patch|Delete|Controller|RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|Path)\(\s*[\"']([^\"'\n]+)[\"']",
+    r"\b(?:Handle|HandleFunc|GET|POST|PUT|DELETE)\(\s*\"([^\"\n]+)\"",
+    r"#\[(?:get|post|put|patch|delete)\(\s*\"([^\"\n]+)\"",
+)
+
+
+def routes_in_code(files: DataFrame) -> DataFrame:
+    """file_id, route: the paths that code binds to handlers, each once per file."""
+    found = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in ROUTES])
+    return files.where("content IS NOT NULL").select("file_id", F.explode(F.array_distinct(found)).alias("route")).distinct()
+
+
 def document_digest(documents: DataFrame, *, max_words: int = 100) -> DataFrame:
     """doc_id, n_words, n_paragraphs, kept_paragraphs: how many paragraphs fit from the beginning into ``max_words`` words."""
     paragraphs = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.col("text"), r"\n\n+", -1)).alias("at", "p"))

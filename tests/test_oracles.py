@@ -1,10 +1,10 @@
 import pytest
 from oracle import held_against_sql
 
-from loamlens.plans import core, index
+from loamlens.plans import core, index, questions
 
-ALL = core.QUERIES | index.QUERIES
-SQL = core.SQL | index.SQL
+ALL = core.QUERIES | index.QUERIES | questions.QUERIES
+SQL = core.SQL | index.SQL | questions.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
