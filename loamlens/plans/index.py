@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamlens.functions import paths, text
 from loamlens.operators import catalog, graph, texts
 from loamlens.operators.references import APPENDED, SWAPPED, SWAPPED_FOR, module_bases
-from loamlens.operators.snapshots import snapshot_changes
+from loamlens.plans import core
 from loamlens.sources.tables import table
 
 QUERIES = {}
@@ -329,37 +329,25 @@ def dead_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unused_files(*(table(spark, sf_dir, t) for t in ("imports", "files", "symbols")))
 
 
-_FIVE = r"""
-WITH r AS (
-  SELECT repo, snap_id, regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', '') AS file_path, name, signature, line FROM symbol_snapshots WHERE snap_id IN (4, 5)
-  QUALIFY row_number() OVER (PARTITION BY repo, snap_id, regexp_replace(replace(file_path, '\', '/'), '^(\./+)+', ''), name ORDER BY loaded_at DESC, row_id DESC) = 1
-), d AS (
-  SELECT coalesce(n.repo, o.repo) AS repo, coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.name, o.name) AS name,
-    CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'modified' END AS status
-  FROM (SELECT * FROM r WHERE snap_id = 5) n FULL JOIN (SELECT * FROM r WHERE snap_id = 4) o ON n.repo = o.repo AND n.file_path = o.file_path AND n.name = o.name
-  WHERE o.name IS NULL OR n.name IS NULL OR n.signature IS DISTINCT FROM o.signature OR n.line IS DISTINCT FROM o.line
-)"""
+_CHANGED = f"WITH d AS (SELECT snap_id, repo, file_path, name, CASE change_kind WHEN 'changed' THEN 'modified' ELSE change_kind END AS status FROM ({core.SQL['p1_found']}))"
 
 
-def _two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "symbol_snapshots").where("snap_id IN (4, 5)").withColumn("file_path", paths.slashed(F.col("file_path")))
-    whole = spark.range(4, 6).select(F.col("id").alias("snap_id"), F.lit("full").alias("status"), F.lit(1).alias("one"))
-    changes = snapshot_changes(rows.withColumn("one", F.lit(1)), whole, unit=["one"], key=["repo", "file_path", "name"], compare=[F.col("signature"), F.col("line")], newest=["loaded_at", "row_id"])
-    return changes.select("repo", "file_path", "name", F.when(F.col("change_kind") == "changed", "modified").otherwise(F.col("change_kind")).alias("status"))
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return core.p1_found(spark, sf_dir).select("snap_id", "repo", "file_path", "name", F.when(F.col("change_kind") == "changed", "modified").otherwise(F.col("change_kind")).alias("status"))
 
 
-@query(_FIVE + " SELECT * FROM d")
+@query(_CHANGED + " SELECT * FROM d")
 def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two_versions(spark, sf_dir)
+    return _changed(spark, sf_dir)
 
 
 @query(
-    _FIVE
-    + """ SELECT repo, file_path, count(*) FILTER (status = 'added')::BIGINT AS n_added, count(*) FILTER (status = 'modified')::BIGINT AS n_modified, count(*) FILTER (status = 'removed')::BIGINT AS n_removed FROM d GROUP BY ALL"""
+    _CHANGED
+    + """ SELECT snap_id, repo, file_path, count(*) FILTER (status = 'added')::BIGINT AS n_added, count(*) FILTER (status = 'modified')::BIGINT AS n_modified, count(*) FILTER (status = 'removed')::BIGINT AS n_removed FROM d GROUP BY ALL"""
 )
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("added", "modified", "removed")]
-    return _two_versions(spark, sf_dir).groupBy("repo", "file_path").agg(*each)
+    return _changed(spark, sf_dir).groupBy("snap_id", "repo", "file_path").agg(*each)
 
 
 @query(
