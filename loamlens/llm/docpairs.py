@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlens.llm.syntax import folded, tokens, unparsable_texts
+from loamlens.operators.texts import symbol_bodies
 from loamlens.session import checkpointed
 
 # Units of a comment that are no description. All are matched in lower case against a whole unit.
@@ -175,10 +176,14 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def code_and_description(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbol_id, code, description of :func:`documented_functions`, the code from the declaration's line to its end.
 
-    Where the end is unknown or lies before the line, the code is the declaration's line alone.
+    Where the index doesn't know the end, or gives one before the line, it is looked for in the content, by braces or indents.
     """
-    pairs = documented_functions(symbols, files)
+    pairs = checkpointed(documented_functions(symbols, files))
+    unknown = pairs.where("end_line IS NULL OR end_line < line").select("symbol_id").distinct()
+    found = symbol_bodies(symbols.join(unknown, "symbol_id", "left_semi"), files).select("symbol_id", "body_end")
     texts = files.where("content IS NOT NULL").groupBy("file_id").agg(F.max("content").alias("content"))
     lines = F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n", -1)
-    span = F.greatest(F.coalesce("end_line", "line") - F.col("line") + 1, F.lit(1)).cast("int")
-    return pairs.join(texts, "file_id").where(F.col("line") > 0).select("symbol_id", F.array_join(F.slice(lines, F.col("line").cast("int"), span), "\n").alias("code"), "description")
+    end = F.when(F.col("end_line") >= F.col("line"), F.col("end_line")).otherwise(F.coalesce("body_end", "line"))
+    span = (end - F.col("line") + 1).cast("int")
+    joined = pairs.join(found, "symbol_id", "left").join(texts, "file_id").where(F.col("line") > 0)
+    return joined.select("symbol_id", F.array_join(F.slice(lines, F.col("line").cast("int"), span), "\n").alias("code"), "description")

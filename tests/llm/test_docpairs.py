@@ -104,6 +104,9 @@ def test_pairs_of_code_and_description(spark):
     f = spark.createDataFrame([(1, "r", "a.js", "// Keeps order.\nfunction f(x) {\n  return 1;\n}\nlet z;\n", "", 0)], FILES)
     row = code_and_description(s, f).first()
     assert (row.code, row.description) == ("function f(x) {\n  return 1;\n}", "Keeps order.")
+    for end in (None, 1):
+        unknown = spark.createDataFrame([(1, 1, "r", "a.js", "f", "function", 2, end, "", "", True, "", "")], SYMBOLS)
+        assert code_and_description(unknown, f).first().code == row.code
 
 
 def test_text_of_blocks():
