@@ -404,12 +404,41 @@ def doc_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.document_digest(table(spark, sf_dir, "documents"))
 
 
-@query()
+_SPANS = r"""src AS (SELECT file_id, arg_max(content, (path, content)) AS content, regexp_matches(max(path), '\.pyi?$') AS py FROM files WHERE content <> '' GROUP BY file_id),
+l AS (SELECT file_id, py, unnest(t) AS x, generate_subscripts(t, 1)::BIGINT AS line, len(t)::BIGINT AS n FROM (SELECT file_id, py, string_split(regexp_replace(content, '\r\n?', chr(10), 'g'), chr(10)) AS t FROM src)),
+d AS (SELECT *, sum(len(regexp_replace(code, '[^{]', '', 'g')) - len(regexp_replace(code, '[^}]', '', 'g'))) OVER (PARTITION BY file_id ORDER BY line) AS depth,
+  CASE WHEN trim(x, ' ') <> '' AND NOT starts_with(ltrim(x, ' '), ')') THEN len(x) - len(ltrim(x, ' ')) END AS ind FROM (SELECT *, regexp_replace(x, '//.*$', '') AS code FROM l)),
+s AS (SELECT symbol_id, arg_min(kind, (file_id, line)) AS kind, arg_min(file_id, (file_id, line)) AS file_id, arg_min(line, (file_id, line)) AS line FROM symbols WHERE kind IN ({kinds}) AND line IS NOT NULL GROUP BY symbol_id),
+heads AS (SELECT s.symbol_id, d.*, coalesce(p.depth, 0) AS before FROM s JOIN d USING (file_id, line) LEFT JOIN d AS p ON p.file_id = d.file_id AND p.line = d.line - 1),
+opened AS (SELECT heads.symbol_id, min(m.line) AS a FROM heads JOIN d AS m ON m.file_id = heads.file_id AND m.line >= heads.line AND m.depth > heads.before WHERE NOT heads.py GROUP BY ALL),
+closed AS (SELECT heads.symbol_id, min(m.line) AS b FROM heads JOIN opened USING (symbol_id) JOIN d AS m ON m.file_id = heads.file_id AND m.line > a AND m.depth <= heads.before GROUP BY ALL),
+fell AS (SELECT heads.symbol_id, min(m.line) AS b FROM heads JOIN d AS m ON m.file_id = heads.file_id AND m.line > heads.line AND m.ind <= heads.ind WHERE heads.py GROUP BY ALL),
+inside AS (SELECT heads.symbol_id, max(m.line) AS b FROM heads LEFT JOIN fell USING (symbol_id) JOIN d AS m ON m.file_id = heads.file_id AND m.line > heads.line AND m.ind IS NOT NULL AND (fell.b IS NULL OR m.line < fell.b) WHERE heads.py AND heads.ind IS NOT NULL GROUP BY ALL),
+spans AS (SELECT heads.symbol_id, heads.file_id, heads.line, CASE WHEN heads.py THEN coalesce(inside.b, heads.line) WHEN contains(x, '{{') AND contains(x, '}}') OR a IS NULL THEN heads.line ELSE coalesce(closed.b, heads.n) END AS body_end
+  FROM heads LEFT JOIN opened USING (symbol_id) LEFT JOIN closed USING (symbol_id) LEFT JOIN inside USING (symbol_id))"""
+
+
+def _spans(*kinds: str) -> str:
+    return _SPANS.replace("{kinds}", _list(kinds)).replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"""WITH {_spans("function", "method", "class")}
+    SELECT symbol_id, p.file_id, p.line, p.body_end, p.body_end - p.line + 1 AS n_lines,
+      string_agg(x, chr(10) ORDER BY d.line) || CASE WHEN p.body_end - p.line + 1 > 150 THEN chr(10) || '… ' || (p.body_end - p.line - 149) || ' more lines' ELSE '' END AS body
+    FROM spans p JOIN d ON d.file_id = p.file_id AND d.line BETWEEN p.line AND least(p.body_end, p.line + 149) GROUP BY symbol_id, p.file_id, p.line, p.body_end"""
+)
 def symbol_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.symbol_bodies(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_spans("function", "method")}, r AS (SELECT file_id, line + 1 AS a, max(body_end) - 1 AS b FROM spans WHERE body_end - line > 2 GROUP BY ALL), hops AS (
+      SELECT p.file_id, p.a, p.b, min(q.a) AS later FROM r p LEFT JOIN r q ON q.file_id = p.file_id AND q.a > p.b GROUP BY ALL
+    ), kept AS (SELECT * FROM hops WHERE a = (SELECT min(a) FROM r WHERE r.file_id = hops.file_id) UNION ALL SELECT h.* FROM kept k JOIN hops h ON h.file_id = k.file_id AND h.a = k.later)
+    SELECT d.file_id, string_agg(CASE WHEN k.a = d.line THEN regexp_extract(x, '^\\s*') || '… folded' ELSE x END, chr(10) ORDER BY d.line) AS folded
+    FROM d LEFT JOIN kept k ON k.file_id = d.file_id AND d.line BETWEEN k.a AND k.b WHERE k.a IS NULL OR k.a = d.line GROUP BY d.file_id"""
+)
 def folded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.folded_files(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
 

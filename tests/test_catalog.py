@@ -112,3 +112,16 @@ def test_folded_files_hide_bodies(spark):
     assert texts.folded_files(s, f).first().folded == "function f() {\n  … folded\n}\nlet x = 1;"
     none = spark.createDataFrame([], SYMBOLS)
     assert texts.folded_files(none, f).first().folded == code
+
+
+def test_bodies_of_odd_rows(spark):
+    code = "func a() {\r\n  if x {\r\n  }\r\n}\r\nfunc b() {"
+    f = spark.createDataFrame([(1, "a.go", code, "x"), (1, "a.go", code, "y"), (2, "b.py", "def f():\n\n  x\n\n", "x"), (3, "c.go", None, "x"), (4, "d.go", "", "x")], "file_id long, path string, content string, level string")
+    rows = [(1, 1, 1), (1, 1, 1), (2, 1, 5), (3, 2, 1), (4, 1, None), (5, 1, 99), (6, 3, 1), (7, 4, 1), (None, 1, 1), (8, 2, 2), (9, 1, 1)]
+    s = spark.createDataFrame([(i, at, "function", line, "z") for i, at, line in rows], "symbol_id long, file_id long, kind string, line long, before string")
+    got = {r.symbol_id: (r.line, r.body_end, r.n_lines) for r in texts.symbol_bodies(s, f).collect()}
+    assert got == {1: (1, 4, 4), 9: (1, 4, 4), 2: (5, 5, 1), 3: (1, 3, 3), 8: (2, 2, 1)}
+    cut = {r.symbol_id: r.body for r in texts.symbol_bodies(s, f, max_lines=2).collect()}
+    assert cut[1] == "func a() {\n  if x {\n… 2 more lines" and cut[3] == "def f():\n\n… 1 more lines"
+    assert {r.file_id: r.folded for r in texts.folded_files(s, f).collect()} == {1: "func a() {\n… folded\n}\nfunc b() {".replace("\n…", "\n  …"), 2: "def f():\n\n  x\n\n"}
+    assert texts.symbol_bodies(s.limit(0), f).count() == 0 and texts.folded_files(s, f.limit(0)).count() == 0
