@@ -201,14 +201,14 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     upto_here = in_depth.rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(flat.endswith("{"), 1).when(flat.endswith("}"), -1).otherwise(0)
     placed = pieces(lexed).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat").over(in_file))
-    joined = flat.rlike(r"^[E)\],.;:?+\-*/%&|=<>(\[]") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*[{B]$"))
+    joined = F.substring(flat, 1, 1).isin(*"E)],.;:?+-*/%&|=<>([") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*[{B]$"))
     is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{IB]"))
     linked = (
         placed.withColumn("before", F.lag("flat").over(in_depth))
         .withColumn("next", F.lead("flat").over(in_depth))
         .withColumn("next2", F.lead("flat", 2).over(in_depth))
         .withColumn("opener", F.last(F.when(F.col("above").endswith("{"), F.col("above")), ignorenulls=True).over(upto_here))
-        .withColumn("gain", (F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit(""))) - F.when(is_else, 1).otherwise(0)))
+        .withColumn("gain", F.when(flat.contains("I"), F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit("")))).otherwise(0) - F.when(is_else, 1).otherwise(0))
         .withColumn("upto", F.sum("gain").over(in_depth) - F.col("gain"))
         .withColumn("since", F.last(F.when(~F.coalesce(joined, F.lit(False)), F.col("upto")), ignorenulls=True).over(upto_here))
     )
@@ -217,15 +217,15 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     in_block = ~opener.rlike(r"Z|[=(,:?\[]\{$")  # not among the members of a class or an object, which may have such names
     rules = {
         "else": is_else & in_block & (F.col("upto") - F.coalesce("since", F.lit(0)) < 1),
-        "try": c_like & flat.rlike(r"T[{B]$") & ~after.rlike("^[CF]"),
-        "catch": c_like & in_block & flat.rlike(r"^[CF](?:[{B]|$)") & ~before.rlike(r"[TR][{B]$|^C") & ~(is_one("java") & before.contains(")")),
-        "head": c_like & flat.rlike(r"O\([^()\[\]{}]*;$") & (after.rlike(r"^[^()\[\]{}]*\)") | (after.endswith(";") & after2.rlike(r"^[^()\[\]{}]*;$"))),
-        "go head": is_one("go") & flat.rlike("^O.*;$") & after.rlike(r"^[^(){}\[\]]*[{B]$"),
-        "case": is_one("js", "ts", "java", "go") & flat.rlike("^K[^,=({]") & ~opener.contains("S") & (~is_one("go") | opener.rlike("^[IEO]")),
+        "try": c_like & (flat.endswith("T{") | flat.endswith("TB")) & ~after.rlike("^[CF]"),
+        "catch": c_like & (flat.startswith("C") | flat.startswith("F")) & flat.rlike(r"^[CF](?:[{B]|$)") & in_block & ~before.rlike(r"[TR][{B]$|^C") & ~(is_one("java") & before.contains(")")),
+        "head": c_like & flat.contains("O(") & flat.rlike(r"O\([^()\[\]{}]*;$") & (after.rlike(r"^[^()\[\]{}]*\)") | (after.endswith(";") & after2.rlike(r"^[^()\[\]{}]*;$"))),
+        "go head": is_one("go") & flat.startswith("O") & flat.endswith(";") & after.rlike(r"^[^(){}\[\]]*[{B]$"),
+        "case": is_one("js", "ts", "java", "go") & flat.startswith("K") & flat.rlike("^K[^,=({]") & ~opener.contains("S") & (~is_one("go") | opener.rlike("^[IEO]")),
         "first": c_like & above.endswith("S{") & ~flat.rlike("^[KD}]"),
-        "from": scripts & flat.rlike("^X(?:;|\x03)") & before.startswith("Y"),
-        "unfinished": is_one("java") & opener.rlike(r"Z|^[IEOWTCF]") & flat.rlike(r"[^{};]\}$"),
-        "arm": is_one("rs") & opener.rlike(r"M[^IOWEM{]*\{$") & flat.rlike(r"^[^()\[\]]+;$"),
+        "from": scripts & (flat.startswith("X;") | flat.startswith("X\x03")) & before.startswith("Y"),
+        "unfinished": is_one("java") & flat.endswith("}") & flat.rlike(r"[^{};]\}$") & opener.rlike(r"Z|^[IEOWTCF]"),
+        "arm": is_one("rs") & flat.endswith(";") & opener.contains("M") & opener.rlike(r"M[^IOWEM{]*\{$") & flat.rlike(r"^[^()\[\]]+;$"),
     }
     return linked.select("file_id", _named(rules)).unionByName(lexed.select("file_id", F.col("alone").alias("rule"))).where("rule IS NOT NULL")
 
