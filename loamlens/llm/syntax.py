@@ -203,15 +203,11 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     placed = pieces(lexed).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat").over(in_file))
     joined = F.substring(flat, 1, 1).isin(*"E)],.;:?+-*/%&|=<>([") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*[{B]$"))
     is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{IB]"))
-    linked = (
-        placed.withColumn("before", F.lag("flat").over(in_depth))
-        .withColumn("next", F.lead("flat").over(in_depth))
-        .withColumn("next2", F.lead("flat", 2).over(in_depth))
-        .withColumn("opener", F.last(F.when(F.col("above").endswith("{"), F.col("above")), ignorenulls=True).over(upto_here))
-        .withColumn("gain", F.when(flat.contains("I"), F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit("")))).otherwise(0) - F.when(is_else, 1).otherwise(0))
-        .withColumn("upto", F.sum("gain").over(in_depth) - F.col("gain"))
-        .withColumn("since", F.last(F.when(~F.coalesce(joined, F.lit(False)), F.col("upto")), ignorenulls=True).over(upto_here))
-    )
+    gain = F.when(flat.contains("I"), F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit("")))).otherwise(0) - F.when(is_else, 1).otherwise(0)
+    linked = placed.withColumn("gain", gain).withColumn("opens", F.when(F.col("above").endswith("{"), F.col("above"))).select(
+        "file_id", "unit", "level", "seq", "lang", "flat", "above", F.lag("flat").over(in_depth).alias("before"), F.lead("flat").over(in_depth).alias("next"), F.lead("flat", 2).over(in_depth).alias("next2"),
+        F.last("opens", ignorenulls=True).over(upto_here).alias("opener"), (F.sum("gain").over(upto_here) - F.col("gain")).alias("upto"),
+    ).withColumn("since", F.last(F.when(~F.coalesce(joined, F.lit(False)), F.col("upto")), ignorenulls=True).over(upto_here))
     before, after, after2, above, opener = (F.coalesce(c, F.lit("")) for c in ("before", "next", "next2", "above", "opener"))
     c_like, scripts = is_one("js", "ts", "java"), is_one("js", "ts")
     in_block = ~opener.rlike(r"Z|[=(,:?\[]\{$")  # not among the members of a class or an object, which may have such names
