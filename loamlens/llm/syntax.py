@@ -139,21 +139,22 @@ def bad_lines(lexed: DataFrame) -> DataFrame:
      A line that ends in a colon must be followed by a deeper one and no other may be; a ``try`` must be followed by
     an ``except`` or ``finally``, and these, ``elif`` and ``else`` by turns belong to what stands before at the same depth.
     """
-    parts = python_lines(lexed)
     codes = alphabet("py")
     is_one = lambda k, *words: F.coalesce(k, F.lit("")).isin(*[codes[w] for w in words])
     line = F.col("codes")
     heads = is_one(F.col("kind"), "if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class", "async")
     group = r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}"
     python = (
-        parts
+        python_lines(lexed)
         .withColumn("kind", F.substring(line, F.when(line.startswith("\x02"), 2).otherwise(1), F.lit(1)))
         .withColumn("is_line", line.endswith(";") & (line != ";"))
-        .select("unit", "file_id", "seq", "kind", "is_line", line.endswith(":;").alias("opens"), (F.col("is_line") & heads & ~_without_groups(line, group).rlike(r"[:(\[{]")).alias("no_colon"))
+        .select("unit", "file_id", "seq", "kind", "is_line", line.endswith(":;").alias("opens"), (F.col("is_line") & heads & ~_without_groups(line, group).rlike(r"[:(\[{]")).alias("no_colon"), line.rlike(bad_production()).alias("wrong"))
     )
     in_file = Window.partitionBy("unit").orderBy("seq")
     step = F.when(F.col("kind") == "⇥", 1).when(F.col("kind") == "⇤", -1).otherwise(0)
-    placed = python.withColumn("level", F.sum(step).over(in_file)).withColumn("after", F.lead("kind").over(in_file)).withColumn("before", F.lag(F.struct("kind", "is_line", "opens")).over(in_file))
+    placed = python.withColumn("step", step).withColumn("shape", F.struct("kind", "is_line", "opens")).select(
+        "file_id", "unit", "seq", "kind", "is_line", "opens", "no_colon", "wrong", F.sum("step").over(in_file).alias("level"), F.lead("kind").over(in_file).alias("after"), F.lag("shape").over(in_file).alias("before")
+    )
     headed = placed.where("kind <> '⇥'").withColumn("head", F.lag("kind").over(Window.partitionBy("unit", "level").orderBy("seq")))
     after, head, closes = F.col("after"), F.col("head"), F.col("kind") == "⇤"
     depth = F.col("is_line") & (F.col("opens") != (F.coalesce(after, F.lit("")) == "⇥"))
@@ -167,8 +168,8 @@ def bad_lines(lexed: DataFrame) -> DataFrame:
     short = F.coalesce(F.col("before.is_line") & ~F.col("before.opens") & is_one(F.col("before.kind"), "if", "elif", "for", "while", "try", "except", "else", "async"), F.lit(False))
     loose = F.col("is_line") & is_one(F.col("kind"), "except", "finally", "elif", "else") & ~is_one(F.col("before.kind"), "DEDENT") & ~short
     bare = F.col("is_line") & is_one(F.col("kind"), "@") & ~is_one(after, "def", "class", "async", "@")
-    order = headed.where(F.col("no_colon") | depth | bare | (closes & (left_open | strange)) | loose)
-    return parts.where(F.col("codes").rlike(bad_production())).select("file_id").unionByName(order.select("file_id"))
+    order = headed.where(F.col("wrong") | F.col("no_colon") | depth | bare | (closes & (left_open | strange)) | loose)
+    return order.select("file_id")
 
 
 # The words that begin or link the parts of a statement, and the letters that stand for them below.
