@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 #: At most this many labelled documents, the first by a hash of their id, are used to fit the model.
 MAX_LABELLED = 20_000
-#: The share of the sentences without abuse that a pass of the fit looks at, drawn anew for each pass.
+#: The share of the sentences without abuse that a pass of the fit looks at, drawn anew for each pass, besides those from this score on.
 NEGATIVE_SHARE = 0.25
+HARD_SCORE = -1.0
+#: How many times as much a sentence without abuse weighs each time it is found to score so high, up to an abusive one.
+HARD_FACTOR = 8.0
+#: How many times as much as the others the sentences taken for abusive weigh together, before the former are found.
+POSITIVE_WEIGHT = 4.0
 DIMENSIONS = 1 << 16
 FACTORS = 8
 
@@ -97,7 +102,10 @@ class FactorizationMachine:
         return self._score(sizes, np.add.reduceat(self.weights[ids], begins), np.add.reduceat(factors, begins, axis=0), np.add.reduceat((factors * factors).sum(axis=1), begins))
 
     def scores_of_words(self, terms: list[tuple[int, ...]], which: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The scores of sentences of words, each a tuple of terms; the terms of a word are added up once for all sentences."""
+        """The scores of sentences of words, each a tuple of terms; the terms of a word are added up once for all sentences.
+
+        What a sentence holds again, by another word, is taken off its sums.
+        """
         if not len(begins):
             return np.zeros(0)
         flat, counts = _flat(terms)
@@ -107,7 +115,14 @@ class FactorizationMachine:
         weights[held] = np.add.reduceat(self.weights[flat], places)
         factors[held] = np.add.reduceat(self.factors[flat], places, axis=0)
         squares[held] = np.add.reduceat((self.factors[flat] ** 2).sum(axis=1), places)
-        return self._score(*(np.add.reduceat(x[which], begins, axis=0) for x in (counts, weights, factors, squares)))
+        sums = [np.add.reduceat(x[which], begins, axis=0) for x in (counts, weights, factors, squares)]
+        ids, _, owner, again = _spread(flat, counts, which, begins)
+        if len(again):
+            starts = np.flatnonzero(np.diff(owner[again], prepend=-1))
+            held, more = owner[again][starts], ids[again]
+            for x, of_terms in zip(sums, (np.ones(len(more), counts.dtype), self.weights[more], self.factors[more], (self.factors[more] ** 2).sum(axis=1)), strict=True):
+                x[held] -= np.add.reduceat(of_terms, starts, axis=0)
+        return self._score(*sums)
 
     def _score(self, sizes: np.ndarray, weights: np.ndarray, totals: np.ndarray, squares: np.ndarray) -> np.ndarray:
         share = np.sqrt(8 / np.maximum(sizes, 8))
@@ -120,7 +135,7 @@ def _share_of(ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _laid_out(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     return np.concatenate(sets) if sets else np.zeros(0, np.int64), np.cumsum(sizes) - sizes
 
 
@@ -135,7 +150,7 @@ def _log_odds(bags: list[tuple[int, list[tuple[int, ...]]]]) -> np.ndarray:
     return np.log((counts[1] + 0.25) / (totals[1] + 0.5)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
 
 
-def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passes: int = 8, negative_share: float = NEGATIVE_SHARE, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passes: int = 8, negative_share: float = NEGATIVE_SHARE, rate: float = 0.05, slower: float = 0.3, decay: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """A machine fitted to documents (label, sentences as sets of terms), of which one sentence makes a document abusive.
 
     All sentences of documents without abuse are negative. Of an abusive document the sentence with the highest score is
@@ -144,7 +159,11 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
     their score is low. Each pass visits all positive sentences and a ``negative_share`` of the others, in eight batches, more if
     these would hold more than some thousand sentences. A term's value is its
     inverse document frequency among the documents, scaled to at most 1; the values are worked into the weights that are
-    returned. The loss is logistic, in a pass the positive sentences weigh twice as much as the others, minimised by Adam.
+    returned. The loss is logistic, in a pass the positive sentences weigh :data:`POSITIVE_WEIGHT` times as much as the others, minimised by Adam, whose steps
+    are ``slower`` in each round, else the last ones decide on sentences that are not in each pass.
+
+    Twice a round all sentences are scored. Negative ones from :data:`HARD_SCORE` on are visited by each of the next passes, and
+    weigh :data:`HARD_FACTOR` times as much as before, up to a positive sentence: there are few of them, beside a hundred thousand others.
     """
     seen = np.bincount(np.concatenate([np.unique(np.concatenate([np.array(s) for s in b[1]])) for b in bags if b[1]] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=DIMENSIONS)
     value = np.log((len(bags) + 2) / (seen + 1)) / np.log(len(bags) + 2)
@@ -173,20 +192,26 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
                 rows.append((1, sentences[int(np.argmax(z))], 2.0))
         y = np.array([0.0] * len(harmless) + [r[0] for r in rows])
         weight = np.array([*np.sqrt(list(negatives.values())), *(r[2] for r in rows)])
-        weight[y == 1] *= 2 * negative_share * weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)
+        weight[y == 1] *= POSITIVE_WEIGHT * negative_share * weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)
         weight /= max(weight.mean(), 1e-9) if len(weight) else 1.0
-        sets = harmless + [np.array(r[1]) for r in rows]
-        for _ in range(passes):
-            visited = rng.permutation(np.flatnonzero((y == 1) | (rng.random(len(y)) < negative_share)))
+        flat, starts = _laid_out(harmless + [np.array(r[1]) for r in rows])
+        sizes, values = np.diff(np.append(starts, len(flat))), value[flat] * _share_of(flat, starts)
+        hard = np.zeros(len(y), dtype=bool)
+        for k in range(passes):
+            if step and k % max(1, passes // 2) == 0:
+                hard = (y == 0) & (FactorizationMachine(fm.bias, fm.weights * value, fm.factors * value[:, None]).scores(flat, starts) >= HARD_SCORE)
+                weight[hard] = np.minimum(weight[hard] * HARD_FACTOR, np.maximum(weight[hard], weight[y == 1].max(initial=0)))
+            visited = rng.permutation(np.flatnonzero((y == 1) | hard | (rng.random(len(y)) < negative_share)))
             for chunk in np.array_split(visited, min(len(visited), max(8, len(visited) // 1024))) if len(visited) else []:
-                ids, begins = _laid_out([sets[i] for i in chunk])
-                row = np.repeat(np.arange(len(chunk)), np.diff(np.append(begins, len(ids))))
-                x = value[ids] * _share_of(ids, begins)
+                n = sizes[chunk]
+                begins, row = np.cumsum(n) - n, np.repeat(np.arange(len(chunk)), n)
+                places = (starts[chunk] - begins)[row] + np.arange(len(row))
+                ids, x = flat[places], values[places]
                 v = fm.factors[ids] * x[:, None]
                 total = np.add.reduceat(v, begins, axis=0)
                 z = fm.bias + np.add.reduceat(fm.weights[ids] * x, begins) + 0.5 * (total * total - np.add.reduceat(v * v, begins, axis=0)).sum(axis=1)
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[chunk]) * weight[chunk] / len(chunk)
-                order = np.argsort(ids, kind="stable")
+                order = np.argsort(ids.astype(np.uint16), kind="stable")
                 begins = np.flatnonzero(np.diff(ids[order], prepend=-1))
                 used, e = ids[order][begins], error[row] * x
                 gw = np.add.reduceat(e[order], begins) + decay * fm.weights[used]
@@ -195,7 +220,7 @@ def fit(bags: list[tuple[int, list[tuple[int, ...]]]], *, rounds: int = 3, passe
                 for target, g, m, s in ((fm.weights, gw, state[0], state[1]), (fm.factors, gv, state[2], state[3])):
                     m[used] = 0.9 * m[used] + 0.1 * g
                     s[used] = 0.999 * s[used] + 0.001 * g * g
-                    target[used] -= rate * (m[used] / (1 - 0.9**step)) / (np.sqrt(s[used] / (1 - 0.999**step)) + 1e-8)
+                    target[used] -= rate * slower**turn * (m[used] / (1 - 0.9**step)) / (np.sqrt(s[used] / (1 - 0.999**step)) + 1e-8)
                 fm.bias -= rate * 0.1 * np.sign(error.sum()) * min(1.0, abs(error.sum()) * 10)
     return FactorizationMachine(fm.bias, fm.weights * value, fm.factors * value[:, None])
 
@@ -235,13 +260,22 @@ def _flat(terms: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for t in terms for i in t), dtype=np.int64, count=int(counts.sum())), counts
 
 
+def _spread(flat: np.ndarray, counts: np.ndarray, which: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of all words, where sentences begin among them, the sentence of each, and the places of terms that a sentence has held before."""
+    starts, n = (np.cumsum(counts) - counts)[which], counts[which]
+    before = np.cumsum(n) - n
+    ids = flat[np.repeat(starts - before, n) + np.arange(n.sum())]
+    owner = np.repeat(np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(which)))), n)
+    by_id = np.argsort(ids.astype(np.uint16), kind="stable")  # there are as many terms as 16 bits tell apart
+    again = by_id[1:][(np.diff(ids[by_id]) == 0) & (np.diff(owner[by_id]) == 0)]
+    return ids, before[begins], owner, np.sort(again)
+
+
 def _sentence_sets(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, begins of sentences in them, and of each sentence the number of its document."""
+    """Terms, each once a sentence, begins of sentences in them, and of each sentence the number of its document."""
     terms, which, begins, owner = _sentences(lists)
-    flat, counts = _flat(terms)
-    starts, n = (np.cumsum(counts) - counts)[which], counts[which]
-    places = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return flat[places], (np.cumsum(n) - n)[begins], owner
+    ids, begins, _, again = _spread(*_flat(terms), which, begins)
+    return np.delete(ids, again), begins - np.searchsorted(again, begins), owner
 
 
 _terms: dict[str, tuple[int, ...]] = {}

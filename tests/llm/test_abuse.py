@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamlens.llm.abuse import THRESHOLD, FactorizationMachine, _sentence_sets, canonical, fit, labelled_bags, pieces, scored_documents, source_rates, term_ids
+from loamlens.llm.abuse import THRESHOLD, FactorizationMachine, _sentence_sets, _sentences, canonical, fit, labelled_bags, pieces, scored_documents, source_rates, term_ids
 
 DOCUMENTS = "doc_id long, text string, source string, score double, words string"
 LABELS = "doc_id long, toxic int, rater string, text string"
@@ -54,6 +54,30 @@ def test_scores_against_the_definition():
     assert np.allclose(fm.scores(ids, begins), want)
 
 
+def test_a_term_counts_once_a_sentence(spark):
+    """Runs of base64 held the mark of a disguised word hundreds of times and scored by that."""
+    cut = spark.range(1).select(pieces(F.lit("the The m0ron id1ot 4bc5de 12 3.5 moron. You m0ron")).alias("p")).first().p
+    lists = pa.array([list(cut)], pa.list_(pa.string()))
+    ids, begins, _ = _sentence_sets(lists)
+    sets = np.split(ids, begins[1:])
+    assert [len(s) for s in sets] == [len(set(s)) for s in sets] and len(sets) == 2
+    rng = np.random.default_rng(2)
+    fm = FactorizationMachine(0.1, rng.normal(size=1 << 16), rng.normal(size=(1 << 16, 4)))
+    assert np.allclose(fm.scores_of_words(*_sentences(lists)[:3]), fm.scores(ids, begins), atol=1e-4)
+
+
+def test_rare_harmless_sentences_outweigh_their_number():
+    """A few labelled sentences that share their words with abusive ones, among many others, are not flagged."""
+    rng = np.random.default_rng(3)
+    bag = lambda *ws: [tuple(sorted({i for w in ws for i in term_ids(w)}))]
+    some = lambda n: [f"word{i}" for i in rng.choice(300, n)]
+    harmless = [(0, bag("drop", "the", "dead", *some(1))) for _ in range(12)]
+    fm = fit([(1, bag("drop", "dead", "you", *some(2))) for _ in range(60)] + harmless + [(0, bag("the", *some(5))) for _ in range(6000)])
+    score = lambda b: fm.scores(np.array(b[0]), np.array([0]))[0]
+    assert not [b for _, b in harmless if score(b) >= 0]
+    assert sum(score(bag("drop", "dead", "you", *some(2))) > 0 for _ in range(20)) >= 19
+
+
 def test_interactions_are_learnt():
     words = {w: term_ids(w) for w in "dog cat red blue".split()}
     bag = lambda *ws: [tuple(sorted({i for w in ws for i in words[w]}))]
