@@ -45,9 +45,8 @@ FILLERS = (
 ).split()
 
 def candidate_comments(lexed: DataFrame) -> DataFrame:
-    """file_id, source, first, line, blanks, text, units of the comments of texts lexed with ``comments``; a repeated one once."""
-    each = lexed.select("file_id", F.explode("comments").alias("c")).select("file_id", "c.*")
-    return each.dropDuplicates(["file_id", "source", "first", "line", "text"])
+    """file_id, source, first, line, blanks, text, units of the comments of texts lexed with ``comments``."""
+    return lexed.select("file_id", F.explode("comments").alias("c")).select("file_id", "c.*")
 
 
 #: Fixed value: endings that are left off words of at least four letters.
@@ -84,14 +83,17 @@ def candidate_links(functions: DataFrame, comments: DataFrame) -> DataFrame:
     """Each comment with the next :data:`NEIGHBOURS` functions of its file: file_id, comment (a hash), source, blanks, text, units, distance (in lines), f (a function).
 
     Comments and functions are laid in one order of lines per file, so that a comment finds its neighbours by row, without a
-    join and without pairs beyond them.
+    join and without pairs beyond them. In this order repeated ones follow each other: a comment counts once, and a function
+    of a line once, with the least of its rows.
     """
     f = F.struct("symbol_id", "name", "line", "end_line", "signature")
     ours = functions.where("file_id IS NOT NULL").select("file_id", F.col("line").alias("at"), f.alias("f"))
     theirs = comments.where("file_id IS NOT NULL").select("file_id", F.col("line").alias("at"), F.struct("source", "first", "blanks", "text", "units").alias("c"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
-    order = "OVER (PARTITION BY file_id ORDER BY at, f IS NOT NULL, f.symbol_id, c.first)"
-    near = both.select("file_id", "at", "c", F.array(*[F.expr(f"lead(f, {i + 1}) IGNORE NULLS {order}") for i in range(NEIGHBOURS)]).alias("near")).where("c IS NOT NULL")
+    order = "OVER (PARTITION BY file_id ORDER BY at, f IS NOT NULL, f.symbol_id, c.first, c.source, c.text, f)"
+    this = F.struct("at", "f.symbol_id", "c.first", "c.source", "c.text")
+    once = both.withColumn("this", this).withColumn("last", F.expr(f"lag(this) {order}")).where("NOT (this <=> last)")
+    near = once.select("file_id", "at", "c", F.array(*[F.expr(f"lead(f, {i + 1}) IGNORE NULLS {order}") for i in range(NEIGHBOURS)]).alias("near")).where("c IS NOT NULL")
     each = near.select("file_id", "at", "c.*", F.explode(F.array_compact("near")).alias("f"))
     return each.withColumn("comment", F.xxhash64("source", "first", "text")).withColumn("distance", F.col("f.line") - F.col("at"))
 
@@ -150,8 +152,8 @@ def assigned(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, links.schema)
 
 
-def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """symbol_id, file_id, name, line, end_line, source, description of the functions and methods with a telling description.
+def documented_functions(symbols: DataFrame, files: DataFrame, *, described: bool = True) -> DataFrame:
+    """symbol_id, file_id, name, line, end_line, source, description of the functions and methods with a telling description; symbol_id and file_id only unless ``described``.
 
     Files are lexed once, for their comments and for their validity. Each comment is a candidate for the next functions below
     it (see :func:`candidate_links`), weighed by :func:`plausibility` and matched by :func:`assigned`. Links that are
@@ -163,14 +165,15 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
     signature has no words. Empty tables give an empty result.
     """
     wanted = symbols.where("kind IN ('function', 'method') AND line IS NOT NULL AND symbol_id IS NOT NULL")
-    functions = wanted.select("symbol_id", "file_id", "name", "line", "end_line", "signature").dropDuplicates(["file_id", "symbol_id", "line"])
+    functions = wanted.select("symbol_id", "file_id", "name", "line", "end_line", "signature")
     lexed = checkpointed(folded(tokens(files, comments=True)))
     links = candidate_links(functions, candidate_comments(lexed))
     score = plausibility(*(F.col(c) for c in ("source", "blanks", "distance", "text", "units", "f.name", "f.signature")))
-    matched = assigned(links.withColumn("score", score).withColumn("symbol_id", F.col("f.symbol_id")))
-    good = matched.where("distance = 0 AND blanks = 0").where(informative(F.col("units"), F.coalesce("f.name", F.lit("")), F.col("f.signature")))
+    telling = F.when((F.col("distance") == 0) & (F.col("blanks") == 0), informative(F.col("units"), F.coalesce("f.name", F.lit("")), F.col("f.signature"))).otherwise(False)
+    shown = ["f.name", "f.line", "f.end_line", "source", F.col("text").alias("description")] if described else []
+    matched = assigned(links.select("f.symbol_id", "file_id", *shown, "comment", score.alias("score"), telling.alias("telling")))
     bad = unparsable_texts(lexed.drop("comments"))
-    return good.join(bad, "file_id", "left_anti").select("symbol_id", "file_id", "f.name", "f.line", "f.end_line", "source", F.col("text").alias("description"))
+    return matched.where("telling").join(bad, "file_id", "left_anti").select("symbol_id", "file_id", *(c for c in ("name", "line", "end_line", "source", "description") if described))
 
 
 def code_and_description(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def p2_parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods with a documentation that tells more than name and signature."""
-    return documented_functions(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files")).select("symbol_id").distinct()
+    return documented_functions(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"), described=False).select("symbol_id").distinct()
 
 
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

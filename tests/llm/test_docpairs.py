@@ -136,3 +136,11 @@ def test_rounds_go_on_until_nothing_is_left(spark):
     code = "".join(f"// Part {i}.\n// @param a{i + 1} x\nfunction f{i}(a{i}) {{ }}\n" for i in range(n))
     got = links(spark, code, [(i, f"f{i}", 3 * i + 3, f"function f{i}(a{i})") for i in range(n)])
     assert got == {f"Part {i}.": i + 1 for i in range(n - 1)} or len(set(got.values())) == len(got) >= n - 1
+
+
+def test_repeated_comments_and_functions_are_linked_once(spark):
+    files = spark.createDataFrame([(1, "r", "a.js", "// One.\nfunction f() {}\n// Two.\nfunction g() {}\n", "", 0)] * 3, FILES)
+    rows = [(1, 1, "f", 2, 9, "b"), (1, 1, "f", 2, None, "a"), (1, 1, "f", 2, 9, "b"), (2, 1, "g", 4, None, None), (1, 1, "f", 4, None, None)]
+    ours = spark.createDataFrame(rows, "symbol_id long, file_id long, name string, line long, end_line long, signature string")
+    links = candidate_links(ours, candidate_comments(tokens(files, comments=True))).collect()
+    assert sorted((r.text, r.f.symbol_id, r.f.line, r.f.end_line) for r in links) == [("One.", 1, 2, None), ("One.", 1, 4, None), ("Two.", 1, 4, None), ("Two.", 2, 4, None)]
