@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 _TAG = re.compile(r"\s*(?:[@:\\](?=[A-Za-z])|[-*]\s+[@:\\](?=[A-Za-z])|(?:Args|Arguments|Parameters|Returns|Raises|Yields|Examples?|Notes?)\s*:)")
 _DOC_ATTRIBUTE = re.compile(r"\s*#!?\[doc\s*=\s*\"((?:[^\"\\]|\\.)*)\"\s*\]\s*")
 _MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*+(?!/)|//[/!]*|#+!?)?[ \t]?")
-_DEF = re.compile(r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\[[^\]]*\])?[ \t]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^:\n]*:")
+_DEF = re.compile(r"def[ \t]+\w+[ \t]*(?:\[[^\]]*\])?[ \t]*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)[^:\n]*:")
 _INTO_BODY = re.compile(r"[ \t]*(?:\n[ \t]*)*")
+_WORD, _END_MARK, _BRACKET = re.compile(r"\w"), re.compile(r"\*+/\s*$"), re.compile(r"[()\[\]{}]")
+_BLANKS, _OPENING = re.compile(r"[ \t\f]*"), re.compile(r"[ \t]*\(")
+_INTERFACE, _INTERFACE_LINE = re.compile(r"@interface\b"), re.compile(r"\s*@interface\b")
+_ANNOTATION = re.compile(r"[\w$.:]+|<[^<>()\n;{}]*(?:<[^<>()\n;{}]*>[^<>()\n;{}]*)*>(?=\()")
+_QUOTED = re.compile(r"^(\"\"\"|'''|\"|')((?s:.*))\1$")
 
 
 def _plain(block: list[str]) -> str:
     """The text of a comment without its marks."""
     lines = []
     for line in block:
-        attribute = _DOC_ATTRIBUTE.fullmatch(line)
-        lines.append(attribute[1].replace("\\n", "\n").replace('\\"', '"') if attribute else re.sub(r"\*+/\s*$", "", _MARKS.sub("", line, count=1)).rstrip())
+        attribute = _DOC_ATTRIBUTE.fullmatch(line) if "[doc" in line else None
+        if attribute:
+            lines.append(attribute[1].replace("\\n", "\n").replace('\\"', '"'))
+            continue
+        line = line[_MARKS.match(line).end() :]
+        lines.append((_END_MARK.sub("", line) if "*/" in line else line).rstrip())
     return "\n".join(lines).strip()
 
 
@@ -28,51 +38,83 @@ def _units(text: str) -> list[str]:
     for line in text.split("\n"):
         if not line.strip():
             fresh = True
-        elif fresh or _TAG.match(line) or not re.search(r"\w", line):
+        elif fresh or _TAG.match(line) or not _WORD.search(line):
             units.append(line.strip())
-            fresh = not re.search(r"\w", line)
+            fresh = not _WORD.search(line)
         else:
             units[-1] += " " + line.strip()
     return units
 
 
-def _behind_annotations(code: list[str], k: int) -> tuple[int, int]:
-    """Line and column behind the annotations, decorators or attributes that begin in line ``k``; a following one on another line is left."""
-    text = "\n".join(code[k:])
-    at, n, closing = len(text) - len(text.lstrip(" \t\f")), len(text), {"(": ")", "[": "]", "{": "}"}
-
-    def group(at: int) -> int:
-        awaited = []
-        while at < n:
-            if text[at] in closing:
-                awaited.append(closing[text[at]])
-            elif awaited and text[at] == awaited[-1]:
-                awaited.pop()
-                if not awaited:
-                    return at + 1
-            at += 1
-        return n
+_CLOSING = {"(": ")", "[": "]", "{": "}"}
+
 
-    while at < n and not re.compile(r"@interface\b").match(text, at):
+def _behind_group(text: str, at: int) -> int:
+    """The place behind the bracket that closes the one at ``at``, or the end of the text."""
+    awaited = []
+    for m in _BRACKET.finditer(text, at):
+        if m[0] in _CLOSING:
+            awaited.append(_CLOSING[m[0]])
+        elif awaited and m[0] == awaited[-1]:
+            awaited.pop()
+            if not awaited:
+                return m.end()
+    return len(text)
+
+
+def _behind_annotations(text: str, at: int) -> int:
+    """The place behind the annotations, decorators or attributes that begin in the line at ``at``; a following one on another line is left."""
+    at, n = _BLANKS.match(text, at).end(), len(text)
+    while at < n and not _INTERFACE.match(text, at):
         if text.startswith(("#[", "#!["), at):
-            at = group(text.index("[", at))
+            at = _behind_group(text, text.index("[", at))
         elif text[at] == "@":
             at += 1
             if text[at : at + 1] == "(":
-                at = group(at)
+                at = _behind_group(text, at)
             while True:
-                m = re.compile(r"[\w$.:]+|<[^<>()\n;{}]*(?:<[^<>()\n;{}]*>[^<>()\n;{}]*)*>(?=\()").match(text, at)
+                m = _ANNOTATION.match(text, at)
                 if m:
                     at = m.end()
-                opened = re.compile(r"[ \t]*\(").match(text, at)
+                opened = _OPENING.match(text, at)
                 if opened:
-                    at = group(opened.end() - 1)
+                    at = _behind_group(text, opened.end() - 1)
                 elif not m:
                     break
         else:
             break
-        at = re.compile(r"[ \t\f]*").match(text, at).end()
-    return k + text.count("\n", 0, at), at - text.rfind("\n", 0, at) - 1
+        at = _BLANKS.match(text, at).end()
+    return at
+
+
+def _commented_lines(lang: str, text: str, lines: list[str], code: list[str], spans: list[tuple[int, int, str]]) -> set[int]:
+    """The lines that hold nothing but comment, found from the comments; ``code`` are the lines without them."""
+    held, line, at = set(), 0, 0
+    for a, b, kind in spans:
+        if kind == "c":
+            line += text.count("\n", at, a)
+            at = a
+            blank = text.find("\n\n", a, b) >= 0  # blank lines within one comment belong to it
+            for i in range(line, line + text.count("\n", a, b) + 1):
+                if (blank or lines[i].strip()) and not code[i].strip():
+                    held.add(i)
+    if lang == "rs" and "[doc" in text:
+        held.update(i for i, x in enumerate(lines) if "[doc" in x and _DOC_ATTRIBUTE.fullmatch(x))
+    return held
+
+
+def _definitions(shown: str) -> Iterator[tuple[int, int]]:
+    """Begin of the line and end of the heads of functions in Python, up to the colon."""
+    at = end = 0
+    while m := _DEF.search(shown, at):
+        begin = shown.rfind("\n", 0, m.start()) + 1
+        before = shown[begin : m.start()]
+        blank = before.strip(" \t")
+        if begin >= end and (not blank or (blank == "async" and before[-1] in " \t")):
+            yield begin, m.end()
+            at = end = m.end()
+        else:
+            at = m.start() + 3
 
 
 def comment_blocks(lang: str, text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int, int, str, list[str]]]:
@@ -84,40 +126,42 @@ def comment_blocks(lang: str, text: str, spans: list[tuple[int, int, str]]) -> I
     line behind it that is neither blank nor wholly part of decorators, annotations or attributes. In Python a string that begins the
     body of a function belongs to the line of its ``def``.
     """
+    if lang == "py":
+        spans = [x for x in spans if text[x[0]] != "\\"]
+    elif "@" not in text and "#[" not in text:  # only the brackets of annotations could be taken for those of a string in a line
+        spans = [x for x in spans if x[2] == "c" or text.find("\n", x[0], x[1]) >= 0]
+    if lang != "py" and not any(kind == "c" for _, _, kind in spans) and not (lang == "rs" and "[doc" in text):
+        return
     lines = text.split("\n")
-    spans = [x for x in spans if text[x[0]] != "\\"]
     masked, last = [], 0
     for a, b, kind in spans:
         sign = " " if kind == "c" else "s"
-        masked += [text[last:a], "\n".join(sign * len(part) for part in text[a:b].split("\n"))]
+        masked += [text[last:a], sign * (b - a) if text.find("\n", a, b) < 0 else "\n".join([sign * len(part) for part in text[a:b].split("\n")])]
         last = b
     shown = "".join([*masked, text[last:]])
     code = shown.split("\n")
-    commented = [bool(line.strip()) and not bare.strip() for line, bare in zip(lines, code, strict=True)]
-    if lang == "rs":
-        commented = [c or bool(_DOC_ATTRIBUTE.fullmatch(line)) for c, line in zip(commented, lines, strict=True)]
-    for a, b, kind in spans:  # blank lines within one comment belong to it
-        if kind == "c" and "\n\n" in text[a:b]:
-            first = text.count("\n", 0, a)
-            for i in range(first, first + text.count("\n", a, b) + 1):
-                commented[i] = commented[i] or not code[i].strip()
-    i, n = 0, len(lines)
-    while i < n:
-        if not commented[i]:
-            i += 1
+    commented, j, n = _commented_lines(lang, text, lines, code, spans), 0, len(lines)
+    starts: list[int] = []
+    for i in sorted(commented):
+        if i < j:
             continue
-        j = i
-        while j < n and commented[j]:
+        j = i + 1
+        while j in commented:
             j += 1
         k, blanks = j, 0
-        while k < n and (not code[k].strip() or code[k].lstrip().startswith(("@", "#[")) and not re.match(r"\s*@interface\b", code[k])):
-            if not code[k].strip():
+        while k < n:
+            bare = code[k].lstrip()
+            if not bare:
                 blanks += 1
                 k += 1
                 continue
+            if not bare.startswith(("@", "#[")) or _INTERFACE_LINE.match(code[k]):
+                break
             if lang != "py":
-                k, column = _behind_annotations(code, k)
-                if k < n and code[k][column:].strip():
+                starts = starts or list(accumulate(map(len, code), lambda at, size: at + size + 1, initial=0))
+                at = _behind_annotations(shown, starts[k])
+                k += shown.count("\n", starts[k], at)
+                if code[k][at - starts[k] :].strip():
                     break
                 k += 1
                 continue
@@ -130,16 +174,18 @@ def comment_blocks(lang: str, text: str, spans: list[tuple[int, int, str]]) -> I
         if k < n and blanks <= 1:
             plain = _plain(lines[i:j])
             yield "comment", i + 1, k + 1, blanks, plain, _units(plain)
-        i = j
     if lang == "py":
         strings = {a: b for a, b, kind in spans if kind == "s"}
-        for m in _DEF.finditer(shown):
-            start = _INTO_BODY.match(shown, m.end()).end()
+        line, at = 1, 0
+        for begin, end in _definitions(shown):
+            start = _INTO_BODY.match(shown, end).end()
             start += shown[start : start + 1] in tuple("rRuU")
             if start in strings:
-                after = shown[strings[start] :].split("\n", 1)[0].strip()
+                to = shown.find("\n", strings[start])
+                after = shown[strings[start] : to if to >= 0 else None].strip()
                 if not after or after.startswith(";"):
-                    raw = re.sub(r"^(\"\"\"|'''|\"|')((?s:.*))\1$", r"\2", text[start : strings[start]])
-                    plain = "\n".join(x.strip() for x in raw.split("\n")).strip()
-                    line = shown.count("\n", 0, m.start()) + 1 + (len(m[0]) - len(m[0].lstrip("\n")))
+                    raw = _QUOTED.sub(r"\2", text[start : strings[start]])
+                    plain = "\n".join([x.strip() for x in raw.split("\n")]).strip()
+                    line += shown.count("\n", at, begin)
+                    at = begin
                     yield "docstring", line, line, 0, plain, _units(plain)

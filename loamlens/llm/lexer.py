@@ -15,18 +15,30 @@ _TEXT, _GAP = "\x06", "\x07"
 # Words that are reserved without a use, and signs of more than one character that the grammars leave out.
 RESERVED = {"js": ("enum",), "java": ("const", "goto")}
 
-# What hides tokens, by language. Groups: c comment, s string, o something that was opened and doesn't end.
-_LINE, _BLOCK = r"//[^\n]*", r"/\*(?s:.*?)\*/"
+# What hides tokens, by language: the signs it can begin with, and what stands behind the first one. Groups: c comment, s string, o something that was opened and doesn't end.
+_LINE, _BLOCK = r"(?<=/)/[^\n]*", r"(?<=/)\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+
+
+def _string(sign: str, escape: str = r"\\(?s:.)", also: str = r"\n") -> str:
+    """The rest of a string in ``sign``."""
+    return rf"[^{sign}\\{also}]*+(?:{escape}[^{sign}\\{also}]*+)*+{sign}"
+
+
+def _long_string(sign: str) -> str:
+    """The rest of a string in three of ``sign``, behind these."""
+    return rf"[^{sign}\\]*+(?:(?:\\(?s:.)|{sign}(?!{sign}{sign}))[^{sign}\\]*+)*+{sign}{sign}{sign}"
+
+
 _HIDING = {
-    "py": r"(?P<c>\#[^\n]*|\\\r?\n)|(?P<s>(?:\"\"\"(?s:(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|'''(?s:(?:[^'\\]|\\.|'(?!''))*)'''|\"(?!\"\")(?:[^\"\\\n]|\\(?s:.))*\"|'(?!'')(?:[^'\\\n]|\\(?s:.))*'))|(?P<o>[\"'])",
-    "js": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"(?:[^\"\\\n]|\\(?s:.))*\"|'(?:[^'\\\n]|\\(?s:.))*')|(?P<t>`)|(?P<r>/(?![/*]))|(?P<o>/\*|[\"'])",
-    "go": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<o>/\*|[\"'`])",
-    "java": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>\"\"\"[ \t\f]*\r?\n(?s:(?:[^\"\\]|\\.|\"(?!\"\"))*)\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{{1,3}}|u+[0-9a-fA-F]{{4}}))')|(?P<o>/\*|[\"'])",
-    "rs": r"(?P<c>//[^\n]*)|(?P<n>/\*)|(?P<s>(?<!\w)[bc]?r(?P<h>\#*)\"(?s:.*?)\"(?P=h)|(?<!\w)[bc]?\"(?s:(?:[^\"\\]|\\.)*)\"|(?<!\w)b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|[nrt0\\'\"]))')|(?P<l>'[^\W\d]\w*)|(?P<o>[\"'])",
+    "py": (r"\#\\\"'", rf"(?P<c>(?<=\#)[^\n]*|(?<=\\)\r?\n)|(?P<s>(?<=\")(?:\"\"{_long_string('"')}|(?!\"\"){_string('"')})|(?<=')(?:''{_long_string("'")}|(?!''){_string("'")}))|(?P<o>(?<=[\"']))"),
+    "js": (r"/\"'`", rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>(?<=\"){_string('"')}|(?<='){_string("'")})|(?P<t>(?<=`))|(?P<r>(?<=/)(?![/*]))|(?P<o>(?<=/)\*|(?<=[\"']))"),
+    "go": (r"/\"'`", rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>(?<=\"){_string('"', r"\\.")}|(?<=`)[^`]*`|(?<=')(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|[0-7]{{3}}|x[0-9a-fA-F]{{2}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')|(?P<o>(?<=/)\*|(?<=[\"'`]))"),
+    "java": (r"/\"'", rf"(?P<c>{_LINE}|{_BLOCK})|(?P<s>(?<=\")\"\"[ \t\f]*\r?\n{_long_string('"')}|(?<=\"){_string('"', r"\\.")}|(?<=')(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{{1,3}}|u+[0-9a-fA-F]{{4}}))')|(?P<o>(?<=/)\*|(?<=[\"']))"),
+    "rs": (r"/bcr\"'", rf"(?P<c>(?<=/)/[^\n]*)|(?P<n>(?<=/)\*)|(?P<s>(?<!\w[bcr\"'])(?:(?:(?<=r)|(?<=[bc])r)(?P<h>\#*)\"(?s:.*?)\"(?P=h)|(?:(?<=\")|(?<=[bc])\"){_string('"', also="")}|(?:(?<=')|(?<=b)')(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[nrt0\\'\"]))'))|(?P<l>(?<=')[^\W\d]\w*)|(?P<o>(?<=[\"']))"),
 }
 _HIDING["ts"] = _HIDING["js"]
 _REGEX = re.compile(r"/(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/\w*")
-_TEMPLATE = re.compile(r"(?s)(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)")
+_TEMPLATE = re.compile(r"(?s)[^`\\$]*+(?:(?:\\.|\$(?!\{))[^`\\$]*+)*+(`|\$\{)")
 _NESTED = re.compile(r"/\*|\*/")
 _NUMBER = {
     "py": r"0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*|\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?(?=[^\w]|[eEjJ])|(?=[eEjJ])))(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?",
@@ -146,7 +158,9 @@ def _uncover(lang: str, text: str, spans: list[tuple[int, int, str]] | None = No
 
 @cache
 def _hiding(lang: str, in_template: bool) -> re.Pattern[str]:
-    return re.compile(_HIDING[lang] + (r"|(?P<b>[{}])" if in_template else ""))
+    """What hides tokens. It begins with a set of signs, so that the search runs from one of them to the next."""
+    first, rest = _HIDING[lang]
+    return re.compile(rf"[{first}{{}}](?:{rest}|(?P<b>(?<=[{{}}])))" if in_template else rf"[{first}](?:{rest})")
 
 
 class _Gaps(dict):
@@ -185,12 +199,15 @@ _BRACKET = re.compile(r"[()\[\]{}]")
 def _python_lines(text: str) -> str:
     """Logical lines: ``text`` with a sign for each line end outside brackets, and signs around deeper lines."""
     out, stack, level = [], [0], 0
+    tabs = "\t" in text or "\f" in text
     for line in text.split("\n"):
         if not level:
             body = line.lstrip(" \t\f")
-            if not body.strip(" \t\f\r"):
+            if not body or (body[0] == "\r" and not body.strip(" \t\f\r")):
                 continue
-            width = len(line[: len(line) - len(body)].replace("\f", "").expandtabs(8))
+            width = len(line) - len(body)
+            if tabs:
+                width = len(line[:width].replace("\f", "").expandtabs(8))
             if width > stack[-1]:
                 stack.append(width)
                 out.append("\x01")
@@ -203,7 +220,8 @@ def _python_lines(text: str) -> str:
         else:
             body = line
         if _BRACKET.search(body):
-            level = max(0, level + sum(map(body.count, "([{")) - sum(map(body.count, ")]}")))
+            n = body.count
+            level = max(0, level + n("(") + n("[") + n("{") - n(")") - n("]") - n("}"))
         out.append(body if level else body + "\x10")
     out += ["\x04"] * (len(stack) - 1)
     return "".join(out)
