@@ -70,9 +70,9 @@ def informative(units: Column, name: Column, signature: Column) -> Column:
     dull = "|".join(f"(?:{p})" for p in (*PLACEHOLDERS, *POINTERS, *TOOL_NOTES, *STAMPS, *DISUSED_CODE, *BARE_TAGS))
     told = F.filter(units, lambda u: ~F.lower(F.trim(u)).rlike(rf"^[\s*#/!-]*(?:{dull})$") & u.rlike(r"[\p{L}\p{N}]"))
     plain = F.transform(told, lambda u: F.regexp_replace(u, r"^\W*[@:\\]\w+\s*(?:\{[^}]*\})?", " "))
-    fillers = F.array(*[F.lit(w) for w in sorted({_stemmed(w) for w in FILLERS})])
-    known = F.array_union(F.array_union(words_of(name), words_of(F.coalesce(signature, F.lit("")))), fillers)
-    return F.size(F.array_except(words_of(F.array_join(plain, " ")), known)) > 0
+    fillers = sorted({_stemmed(w) for w in FILLERS})
+    words = F.filter(words_of(F.array_join(plain, " ")), lambda w: ~w.isin(fillers))
+    return F.size(F.array_except(words, F.concat(words_of(name), words_of(F.coalesce(signature, F.lit("")))))) > 0
 
 
 #: A comment is a candidate for this many functions from the line on that stands below it.

@@ -201,19 +201,18 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
     in_file, in_depth = Window.partitionBy("unit").orderBy("seq"), Window.partitionBy("unit", "level").orderBy("seq")
     upto_here = in_depth.rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(flat.endswith("{"), 1).when(flat.endswith("}"), -1).otherwise(0)
-    placed = pieces(lexed).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat").over(in_file))
+    placed = pieces(lexed).withColumn("flat", F.coalesce("flat", F.lit(""))).withColumn("level", F.sum(step).over(in_file) - step).withColumn("above", F.lag("flat", 1, "").over(in_file))
     joined = F.substring(flat, 1, 1).isin(*"E)],.;:?+-*/%&|=<>([") | (is_one("go") & F.col("before").endswith(";") & flat.rlike(r"^[^IOSE].*[{B]$"))
     is_else = flat.startswith("E") & (~is_one("rs") | flat.rlike("^E[{IB]"))
     gain = F.when(flat.contains("I"), F.length(flat) - F.length(F.replace(flat, F.lit("I"), F.lit("")))).otherwise(0) - F.when(is_else, 1).otherwise(0)
     linked = placed.withColumn("gain", gain).withColumn("opens", F.when(F.col("above").endswith("{"), F.col("above"))).select(
-        "file_id", "unit", "level", "seq", "lang", "flat", "above", F.lag("flat").over(in_depth).alias("before"), F.lead("flat").over(in_depth).alias("next"), F.lead("flat", 2).over(in_depth).alias("next2"),
+        "file_id", "unit", "level", "seq", "lang", "flat", "above", F.lag("flat", 1, "").over(in_depth).alias("before"), F.lead("flat", 1, "").over(in_depth).alias("next"), F.lead("flat", 2, "").over(in_depth).alias("next2"),
         F.last("opens", ignorenulls=True).over(upto_here).alias("opener"), (F.sum("gain").over(upto_here) - F.col("gain")).alias("upto"),
-    ).withColumn("since", F.last(F.when(~F.coalesce(joined, F.lit(False)), F.col("upto")), ignorenulls=True).over(upto_here))
-    before, after, after2, above, opener = (F.coalesce(c, F.lit("")) for c in ("before", "next", "next2", "above", "opener"))
+    )
+    before, after, after2, above, opener = (F.col("before"), F.col("next"), F.col("next2"), F.col("above"), F.coalesce("opener", F.lit("")))
     c_like, scripts = is_one("js", "ts", "java"), is_one("js", "ts")
     in_block = ~opener.rlike(r"Z|[=(,:?\[]\{$")  # not among the members of a class or an object, which may have such names
     rules = {
-        "else": is_else & in_block & (F.col("upto") - F.coalesce("since", F.lit(0)) < 1),
         "try": c_like & (flat.endswith("T{") | flat.endswith("TB")) & ~after.rlike("^[CF]"),
         "catch": c_like & (flat.startswith("C") | flat.startswith("F")) & flat.rlike(r"^[CF](?:[{B]|$)") & in_block & ~before.rlike(r"[TR][{B]$|^C") & ~(is_one("java") & before.contains(")")),
         "head": c_like & flat.contains("O(") & flat.rlike(r"O\([^()\[\]{}]*;$") & (after.rlike(r"^[^()\[\]{}]*\)") | (after.endswith(";") & after2.rlike(r"^[^()\[\]{}]*;$"))),
@@ -224,7 +223,11 @@ def bad_clauses(lexed: DataFrame) -> DataFrame:
         "unfinished": is_one("java") & flat.endswith("}") & flat.rlike(r"[^{};]\}$") & opener.rlike(r"Z|^[IEOWTCF]"),
         "arm": is_one("rs") & flat.endswith(";") & opener.contains("M") & opener.rlike(r"M[^IOWEM{]*\{$") & flat.rlike(r"^[^()\[\]]+;$"),
     }
-    return linked.select("file_id", _named(rules)).unionByName(lexed.select("file_id", F.col("alone").alias("rule"))).where("rule IS NOT NULL")
+    # What needs no more than its neighbours is judged before the last window: the code generated for all rules at once was too long for the JVM to compile.
+    judged = linked.select("file_id", "unit", "level", "seq", "upto", joined.alias("joined"), (is_else & in_block).alias("is_else"), _named(rules))
+    chained = judged.withColumn("since", F.last(F.when(~F.col("joined"), F.col("upto")), ignorenulls=True).over(upto_here))
+    rule = F.when(F.col("is_else") & (F.col("upto") - F.coalesce("since", F.lit(0)) < 1), F.lit("else")).otherwise(F.col("rule"))
+    return chained.select("file_id", rule.alias("rule")).unionByName(lexed.select("file_id", F.col("alone").alias("rule"))).where("rule IS NOT NULL")
 
 
 def _named(rules: dict[str, Column]) -> Column:
